@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op4_bpe
+from .langid import op2_language
 from .simhash import op7_simhash
 from .substrings import op3_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substrings, op7_simhash)}
+    return {f.__name__: f for f in (op2_language, op3_substrings, op4_bpe, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
