@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .langid import op2_language
+from .licenses import op9_licenses
+from .pii import op10_pii
+from .sharding import op1_sharding
 from .simhash import op7_simhash
 from .substrings import op3_substrings
+from .topk import OP6_SQL, op6_topk
+
+QUERIES = (op1_sharding, op2_language, op3_substrings, op4_bpe, op6_topk, op7_simhash, op9_licenses, op10_pii)
+SQL = {"op6_topk": OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_substrings, op4_bpe, op7_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
