@@ -57,7 +57,7 @@ class Block:
         least = pieces[:n].copy()
         for k in range(1, window - anchor + 1):
             np.minimum(least, pieces[k : k + n], out=least)
-        self.anchor = least[self.at]
+        self.anchor = mix64(least)[self.at]  # minima crowd at the low end; mixed, they fill the buckets evenly
         self.owner = self.doc[self.at]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
