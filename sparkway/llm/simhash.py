@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, documents
+from .common import U64, checkpointed, documents, mix64, window_hashes
 
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 17
@@ -191,17 +191,16 @@ def _field(col, shift: int, width: int):
 
 
 def routed(prints: DataFrame, max_distance: int, group_limit: int) -> DataFrame:
-    """(key, fp): every two fingerprints within the distance share a key.
+    """(key, space, fp): every two fingerprints of one space within the distance share a key.
 
     ``rest`` holds the bits that no key has used yet, moved to its low end; a key with more than
     ``group_limit`` fingerprints is replaced by one key for each block of those bits.
     """
     parts, left = max_distance + 1, 64
-    level = prints.select("fp", F.lit("").alias("key"), F.col("fp").alias("rest"))
+    level = prints.select("fp", "space", F.col("space").cast("string").alias("key"), F.col("fp").alias("rest"))
     done = None
     while True:
         blocks = _blocks(left, parts)
-        width = max(w for _, w in blocks)
 
         def cut(k: int, shift: int, size: int, left: int = left) -> F.Column:
             # a wide block keeps its top bits in "rest" too, so that all blocks leave as many bits
@@ -213,57 +212,59 @@ def routed(prints: DataFrame, max_distance: int, group_limit: int) -> DataFrame:
                 F.shiftleft(upper, shift).bitwiseOR(lower).alias("rest"),
             )
 
-        level = level.select("fp", F.inline(F.array(*[cut(k, s, w) for k, (s, w) in enumerate(blocks)])))
+        level = level.select("fp", "space", F.inline(F.array(*[cut(k, s, w) for k, (s, w) in enumerate(blocks)])))
         left -= min(w for _, w in blocks)
         if left < parts * 2:
-            return level.select("key", "fp") if done is None else done.unionByName(level.select("key", "fp"))
+            return level.select("key", "space", "fp") if done is None else done.unionByName(level.select("key", "space", "fp"))
         heavy = checkpointed(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key"))
         if heavy.isEmpty():
-            return level.select("key", "fp") if done is None else done.unionByName(level.select("key", "fp"))
-        light = level.join(heavy, "key", "left_anti").select("key", "fp")
+            return level.select("key", "space", "fp") if done is None else done.unionByName(level.select("key", "space", "fp"))
+        light = level.join(heavy, "key", "left_anti").select("key", "space", "fp")
         done = light if done is None else done.unionByName(light)
-        level = level.join(heavy, "key", "left_semi").select("fp", "key", "rest")
-        assert width > 0
+        level = level.join(heavy, "key", "left_semi").select("fp", "space", "key", "rest")
 
 
 def links(prints: DataFrame, *, max_distance: int = 3, group_limit: int = 20_000) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within the distance.
+    """(space, a, b): links whose components are those of all pairs of one space within the distance.
 
-    ``prints`` has distinct fingerprints in ``fp``.
+    ``prints`` has distinct (space, fp).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[pa.Array] = []
         prints_: list[np.ndarray] = []
+        spaces: list[np.ndarray] = []
         rows = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal keys, prints_, rows
+            nonlocal keys, prints_, spaces, rows
             if not rows:
                 return
             key = pa.concat_arrays(keys).dictionary_encode()
             code = np.asarray(key.indices)
-            fp = np.concatenate(prints_)
+            fp, space = np.concatenate(prints_), np.concatenate(spaces)
             cut = len(code) if last else int(np.flatnonzero(code != code[-1])[-1] + 1) if np.any(code != code[-1]) else 0
             if cut:
                 edges = GrayIndex(code[:cut], fp[:cut].view(U64)).forest(max_distance)
                 if edges:
                     i, j = np.array(edges).T
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["a", "b"])
-            keys, prints_, rows = ([], [], 0) if cut == len(code) else ([pa.concat_arrays(keys)[cut:]], [fp[cut:]], len(code) - cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(space[i]), pa.array(fp[i]), pa.array(fp[j])], ["space", "a", "b"])
+            rest = slice(cut, None)
+            keys, prints_, spaces, rows = ([], [], [], 0) if cut == len(code) else ([pa.concat_arrays(keys)[rest]], [fp[rest]], [space[rest]], len(code) - cut)
 
         for batch in batches:
             if batch.num_rows:
                 keys.append(batch.column(0))
-                prints_.append(np.asarray(batch.column(1)))
+                spaces.append(np.asarray(batch.column(1)))
+                prints_.append(np.asarray(batch.column(2)))
                 rows += batch.num_rows
                 if rows >= 200_000:
                     yield from flush(False)
         yield from flush(True)
 
-    dealt = routed(prints.select("fp"), max_distance, group_limit)
+    dealt = routed(prints.select("fp", "space"), max_distance, group_limit)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "space int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,13 +304,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed))
     owners = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(owners, max_distance=max_distance, group_limit=group_limit))
+    roots = components(links(owners.withColumn("space", F.lit(0)), max_distance=max_distance, group_limit=group_limit))
     named = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(first, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- near copies by similarity ------------------------------------------------------------
+
+
+def word_prints(words: list[bytes], spaces: int) -> list[int]:
+    """Fingerprints of the distinct words, one for each space (a hash function of its own)."""
+    distinct = set(words)
+    if not distinct:
+        return [0] * spaces
+    base = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))
+    out = []
+    for space in range(spaces):
+        hashes = mix64(base + U64(space * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(base)).tobytes(), "big"))
+    return out
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles (A-Z lower-cased); fewer words than a shingle are one shingle."""
+    words = text.lower().split() if text else []
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+    return np.unique(window_hashes(flat, min(shingle, len(flat)))) if len(flat) else np.zeros(1, U64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 500) -> DataFrame:
+    """(doc_id, text_key, kept_id): what stands for each row when one document of each group stays.
+
+    Texts are equal, or near when the Jaccard similarity of their ``shingle``-word shingles is at
+    least ``min_similarity``.  In order of doc_id, a text goes to the first kept text that it is near to;
+    if there is none it is kept.  Candidates are texts in one component over ``spaces`` fingerprints of
+    their distinct words (measured on the prose of the test tables, 97 of 100 pairs with a similarity of 0.8
+    to 0.85 meet in one of eight, 99 of 100 above), each searched with the Gray-order index; similarity is then exact.  Components of
+    more than ``together`` texts are worked off one leader a round, smaller ones in one go.
+
+    text_key: md5 of the text.  Null texts count as empty; texts without words are equal to each other;
+    rows with a null doc_id are left out (nothing can be kept for them); repeated rows
+    give repeated results; an empty table gives an empty result; further columns are not read.
+    """
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.array(word_prints((t.as_py() or b"").lower().split(), spaces), U64).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
+
+    rows = checkpointed(source.mapInArrow(prints_of, "doc_id long, text_key string, fps array<long>"))
+    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min("fps").alias("fps")))
+    placed = texts.select("id", F.posexplode("fps").alias("space", "fp"))
+    owners = checkpointed(placed.groupBy("space", "fp").agg(F.min("id").alias("owner")))
+    found = links(owners, max_distance=max_distance, group_limit=group_limit)
+    between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
+    edges = placed.join(owners, ["space", "fp"]).select(F.col("id").alias("a"), F.col("owner").alias("b")).where("a <> b").unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    grouped = components(edges)
+    members = checkpointed(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct())
+    named = members.join(texts.select(F.col("id").alias("node"), "text_key"), "node")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["id", "root", "shingles"])
+
+    with_text = source.join(named.select(F.col("node").alias("doc_id"), "text_key", "root"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    left = checkpointed(with_text.select("doc_id", "root", "text").mapInArrow(sets_of, "id long, root long, shingles array<long>"))
+    absorbed = []
+    while True:  # components too large for one task: their first text takes what is near to it, the rest goes on
+        large = checkpointed(left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("shingles", "id").alias("first_set"), F.min("id").alias("first_id")).where(F.col("n") > together).drop("n"))
+        if large.isEmpty():
+            break
+        asked = left.join(large, "root", "left")
+        shared = F.size(F.array_intersect("shingles", "first_set"))
+        near = F.coalesce(shared / (F.size("shingles") + F.size("first_set") - shared) >= min_similarity, F.lit(False))
+        judged = checkpointed(asked.withColumn("near", near).drop("first_set"))
+        absorbed.append(judged.where("near").select("id", F.col("first_id").alias("kept_id")))
+        left = judged.where("not near").select("id", "root", "shingles")
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, sets = table.column("id").to_pylist(), [np.array(x, np.int64) for x in table.column("shingles").to_pylist()]
+        kept: list[int] = []
+        stands = []
+        for k, mine in enumerate(sets):
+            low, high = len(mine) * min_similarity, len(mine) / min_similarity
+            home = next((j for j in kept if low <= len(sets[j]) <= high and jaccard(mine, sets[j]) >= min_similarity), None)
+            if home is None:
+                kept.append(k)
+            stands.append(ids[k if home is None else home])
+        return pa.table({"id": pa.array(ids, pa.int64()), "kept_id": pa.array(stands, pa.int64())})
+
+    settled = left.groupBy("root").applyInArrow(settle, "id long, kept_id long")
+    for part in absorbed:
+        settled = settled.unionByName(part)
+    stand_ins = texts.select("text_key", "id").join(settled, "id", "left").select("text_key", F.coalesce("kept_id", "id").alias("kept_id"))
+    return rows.select("doc_id", "text_key").join(stand_ins, "text_key")
+
+
+def text_key(text_col: str) -> Column:
+    """A digest that equal texts share (null counts as empty)."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 3 bits or fewer."""
     found = near_duplicates(documents(spark, sf_dir), shingle=3, seed=42, max_distance=3)
