@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .decontaminate import op8_decontaminate
 from .langid import op2_language
 from .licenses import op9_licenses
+from .lm import op5_lm
 from .pii import op10_pii
 from .sharding import op1_sharding
 from .simhash import op7_simhash
 from .substrings import op3_substrings
 from .topk import OP6_SQL, op6_topk
 
-QUERIES = (op1_sharding, op2_language, op3_substrings, op4_bpe, op6_topk, op7_simhash, op9_licenses, op10_pii)
+QUERIES = (op1_sharding, op2_language, op3_substrings, op4_bpe, op5_lm, op6_topk, op7_simhash, op8_decontaminate, op9_licenses, op10_pii)
 SQL = {"op6_topk": OP6_SQL}
 
 
