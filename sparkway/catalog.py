@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import queries as route_queries
+
+QUERIES: dict = route_queries.QUERIES
+SQL: dict[str, str] = route_queries.SQL

@@ -1,0 +1,6 @@
+"""Registered queries of the route analytics, each with SQL where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
