@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries as route_queries
+from .plans import route_queries
 
 QUERIES: dict = route_queries.QUERIES
 SQL: dict[str, str] = route_queries.SQL
