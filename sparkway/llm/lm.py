@@ -161,7 +161,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sums = np.concatenate((sums, np.zeros((2, 1), np.int64)), axis=1)  # the last column stands for no key
         before = np.roll(block.single, 1)
         before[block.first] = -1
-        own_one, own_two, own_before = block.own(block.single), block.own(block.double), block.own(before)
+        own_one, own_two = block.own(block.single), block.own(block.double)
+        own_before = np.where(block.first, 0, np.roll(own_one, 1))
         role, length = block.role[block.doc], block.sizes[block.doc]
         base = (sums[:, block.single].sum(axis=0) - own_one + 1.0) / (n_target + n_background - length + vocabulary)
         losses = []

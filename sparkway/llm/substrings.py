@@ -199,7 +199,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
         new = np.ones(len(start), bool)
         new[1:] = (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1]) | (source_of[1:] != source_of[:-1])
         begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(start)) - 1
+        last = np.append(begin[1:], len(start))[: len(begin)] - 1
         covered = np.zeros(int(block.starts[-1]) + 1, np.int64)
         np.add.at(covered, start[begin], 1)
         np.add.at(covered, start[last] + window, -1)
