@@ -18,12 +18,14 @@ groups come from alternating large-star / small-star rounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, checkpointed, documents, mix64, window_hashes
@@ -335,12 +337,47 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(window_hashes(flat, min(shingle, len(flat)))) if len(flat) else np.zeros(1, U64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+class Leaders:
+    """Kept texts of one group, and the first of them that a text is near to.
 
+    Two sets with a Jaccard similarity of at least ``least`` share a hash among the smallest ones of each:
+    the first size - ceil(least * size) + 1 of the sorted set.  Only leaders that share one are compared.
+    """
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 500) -> DataFrame:
+    AT_ONCE = 64
+
+    def __init__(self, least: float):
+        self.least = least
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.postings: dict[int, list[int]] = {}
+
+    def _head(self, mine: np.ndarray) -> list[int]:
+        return mine[: len(mine) - math.ceil(self.least * len(mine) - 1e-9) + 1].tolist()
+
+    def add(self, number: int, mine: np.ndarray) -> None:
+        for h in self._head(mine):
+            self.postings.setdefault(h, []).append(len(self.ids))
+        self.ids.append(number)
+        self.sets.append(mine)
+
+    def first(self, mine: np.ndarray) -> int | None:
+        met = sorted({j for h in self._head(mine) for j in self.postings.get(h, ())})
+        low, high = len(mine) * self.least - 1e-9, len(mine) / self.least + 1e-9
+        met = [j for j in met if low <= len(self.sets[j]) <= high]
+        for at in range(0, len(met), self.AT_ONCE):
+            some = [self.sets[j] for j in met[at : at + self.AT_ONCE]]
+            sizes = np.array([len(x) for x in some])
+            flat = np.concatenate(some)
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            near = np.flatnonzero(shared / (len(mine) + sizes - shared) >= self.least)
+            if len(near):
+                return self.ids[met[at + int(near[0])]]
+        return None
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 1000) -> DataFrame:
     """(doc_id, text_key, kept_id): what stands for each row when one document of each group stays.
 
     Texts are equal, or near when the Jaccard similarity of their ``shingle``-word shingles is at
@@ -348,7 +385,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if there is none it is kept.  Candidates are texts in one component over ``spaces`` fingerprints of
     their distinct words (measured on the prose of the test tables, 97 of 100 pairs with a similarity of 0.8
     to 0.85 meet in one of eight, 99 of 100 above), each searched with the Gray-order index; similarity is then exact.  Components of
-    more than ``together`` texts are worked off one leader a round, smaller ones in one go.
+    more than ``together`` texts are worked off in rounds of so many, dealt over several tasks; smaller ones in one go.
 
     text_key: md5 of the text.  Null texts count as empty; texts without words are equal to each other;
     rows with a null doc_id are left out (nothing can be kept for them); repeated rows
@@ -369,44 +406,53 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
     edges = placed.join(owners, ["space", "fp"]).select(F.col("id").alias("a"), F.col("owner").alias("b")).where("a <> b").unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
     grouped = components(edges)
-    members = checkpointed(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct())
-    named = members.join(texts.select(F.col("id").alias("node"), "text_key"), "node")
+    members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
+    sized = checkpointed(members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"))
+    named = sized.join(texts.select(F.col("id").alias("node"), "text_key"), "node")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["id", "root", "shingles"])
-
-    with_text = source.join(named.select(F.col("node").alias("doc_id"), "text_key", "root"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    left = checkpointed(with_text.select("doc_id", "root", "text").mapInArrow(sets_of, "id long, root long, shingles array<long>"))
-    absorbed = []
-    while True:  # components too large for one task: their first text takes what is near to it, the rest goes on
-        large = checkpointed(left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("shingles", "id").alias("first_set"), F.min("id").alias("first_id")).where(F.col("n") > together).drop("n"))
-        if large.isEmpty():
-            break
-        asked = left.join(large, "root", "left")
-        shared = F.size(F.array_intersect("shingles", "first_set"))
-        near = F.coalesce(shared / (F.size("shingles") + F.size("first_set") - shared) >= min_similarity, F.lit(False))
-        judged = checkpointed(asked.withColumn("near", near).drop("first_set"))
-        absorbed.append(judged.where("near").select("id", F.col("first_id").alias("kept_id")))
-        left = judged.where("not near").select("id", "root", "shingles")
-
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
+            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.int64()))], ["id", "root", "n", "shingles"])
+
+    with_text = source.join(named.select(F.col("node").alias("doc_id"), "text_key", "root", "n"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    members = checkpointed(with_text.select("doc_id", "root", "n", "text").mapInArrow(sets_of, "id long, root long, n long, shingles array<long>"))
+
+    def sets(table: pa.Table) -> list[np.ndarray]:
+        return [np.array(x, np.int64).view(U64) for x in table.column("shingles").to_pylist()]
+
+    def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        ids, sets = table.column("id").to_pylist(), [np.array(x, np.int64) for x in table.column("shingles").to_pylist()]
-        kept: list[int] = []
-        stands = []
-        for k, mine in enumerate(sets):
-            low, high = len(mine) * min_similarity, len(mine) / min_similarity
-            home = next((j for j in kept if low <= len(sets[j]) <= high and jaccard(mine, sets[j]) >= min_similarity), None)
+        leaders, ids, stands = Leaders(min_similarity), table.column("id").to_pylist(), []
+        for number, mine in zip(ids, sets(table), strict=True):
+            home = leaders.first(mine)
             if home is None:
-                kept.append(k)
-            stands.append(ids[k if home is None else home])
+                leaders.add(number, mine)
+            stands.append(number if home is None else home)
         return pa.table({"id": pa.array(ids, pa.int64()), "kept_id": pa.array(stands, pa.int64())})
 
-    settled = left.groupBy("root").applyInArrow(settle, "id long, kept_id long")
-    for part in absorbed:
-        settled = settled.unionByName(part)
+    def absorb(table: pa.Table, kept: pa.Table) -> pa.Table:
+        kept, leaders = kept.sort_by("id"), Leaders(min_similarity)
+        for number, mine in zip(kept.column("id").to_pylist(), sets(kept), strict=True):
+            leaders.add(number, mine)
+        homes = [leaders.first(mine) for mine in sets(table)]
+        return table.select(["id", "root", "n", "shingles"]).append_column("kept_id", pa.array(homes, pa.int64()))
+
+    settled = [members.where(F.col("n") <= together).groupBy("root").applyInArrow(settle, "id long, kept_id long")]
+    left = members.where(F.col("n") > together)
+    shares = F.ceil(F.col("n") / together).cast("int")
+    while not left.isEmpty():  # the next texts of each large component are settled in one task, the rest is dealt out and compared with those kept
+        place = F.row_number().over(Window.partitionBy("root").orderBy("id"))
+        heads = left.select("root", "id").withColumn("place", place).where(F.col("place") <= together).select("id")
+        done = checkpointed(left.join(heads, "id", "left_semi").groupBy("root").applyInArrow(settle, "id long, kept_id long"))
+        settled.append(done)
+        kept = left.join(done.where("id = kept_id").select("id"), "id", "left_semi").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+        kept = kept.select(*[F.col(c).alias(c) for c in kept.columns])  # both sides come from one table
+        rest = left.join(done.select("id"), "id", "left_anti").withColumn("share", F.pmod(F.xxhash64("id"), shares))
+        judged = checkpointed(rest.groupBy("root", "share").cogroup(kept.groupBy("root", "share")).applyInArrow(absorb, "id long, root long, n long, shingles array<long>, kept_id long"))
+        settled.append(judged.where("kept_id is not null").select("id", "kept_id"))
+        left = judged.where("kept_id is null").drop("kept_id")
+    settled = reduce(DataFrame.unionByName, settled)
     stand_ins = texts.select("text_key", "id").join(settled, "id", "left").select("text_key", F.coalesce("kept_id", "id").alias("kept_id"))
     return rows.select("doc_id", "text_key").join(stand_ins, "text_key")
 
