@@ -43,7 +43,7 @@ def read_boundary(spark: SparkSession, path: str) -> DataFrame:
 
     A boundary file is small by nature; its lines are numbered as one text.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
     text = lines.withColumn("line", F.trim("line")).where("line <> ''")
     sections = text.selectExpr("seq", "line", "sum(CASE WHEN line = 'END' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS ring")
     coordinates = sections.where(r"line RLIKE '^[-+0-9.eE]+\\s+[-+0-9.eE]+$'")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling counts per event type; works on batch and streaming tables alike."""
+    """Tumbling counts per event type; works on batch and streaming tables alike (start has the type of ts)."""
+    kind = events.schema["ts"].dataType
     window = F.window("ts", length)
-    counted = events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("window.start").alias("start"), "event_type", "n")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events  # watermarks take no timestamp_ntz
+    counted = timed.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("window.start").cast(kind).alias("start"), "event_type", "n")
 
 
 def drained(counts: DataFrame, folder: str) -> None:
