@@ -337,6 +337,11 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(window_hashes(flat, min(shingle, len(flat)))) if len(flat) else np.zeros(1, U64)
 
 
+def head_size(n: int, least: float) -> int:
+    """Of two sets in one order with a Jaccard similarity of at least ``least``, these first elements have one in common."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
 class Leaders:
     """Kept texts of one group, and the first of them that a text is near to.
 
@@ -353,7 +358,7 @@ class Leaders:
         self.postings: dict[int, list[int]] = {}
 
     def _head(self, mine: np.ndarray) -> list[int]:
-        return mine[: len(mine) - math.ceil(self.least * len(mine) - 1e-9) + 1].tolist()
+        return mine[: head_size(len(mine), self.least)].tolist()
 
     def add(self, number: int, mine: np.ndarray) -> None:
         for h in self._head(mine):
@@ -377,14 +382,95 @@ class Leaders:
         return None
 
 
+def sets_of(shingle: int):
+    """Batches with the last column, a text, turned into its shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
+
+    return run
+
+
+def missed_pairs(source: DataFrame, texts: DataFrame, grouped: DataFrame, shingle: int, least: float, *, sample: int = 16, hot: int = 8, most_hot: int = 500_000, share: int = 500) -> DataFrame:
+    """(a, b): roots to be joined so that no two texts with a similarity of at least ``least`` have different ones.
+
+    source: (doc_id, text_key, text); texts: (text_key, id); grouped: (node, root) so far.
+
+    Prefix filter: with all shingles in one order, two near texts share one among the first of each
+    (``head_size``), sizes are within ``least``, and what follows the first one they share is
+    long enough.  Any order gives the same pairs; here shingles found ``hot`` times in one of ``sample`` texts
+    come last, so that common passages hardly make candidates.  A shingle at the head of more than ``share`` texts is
+    dealt over several tasks.  Of the candidates that link a text to a group one is compared first, and the others
+    only if that left them apart.
+    """
+    flat = source.where(F.pmod(F.xxhash64("text_key"), F.lit(sample)) == 0).select("text").mapInArrow(sets_of(shingle), "shingles array<long>")
+    common = flat.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+    common = np.sort(np.array([r["h"] for r in common.orderBy(F.desc("n"), "h").limit(most_hot).select("h").toLocalIterator()], np.int64))
+    sent = source.sparkSession.sparkContext.broadcast(common)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = sent.value
+        for batch in batches:
+            made, sizes = [], []
+            for text in batch.column(2):
+                mine = shingle_set(text.as_py(), shingle).view(np.int64)
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine
+                    mine = np.concatenate([mine[~late], mine[late]])
+                sizes.append(len(mine))
+                made.append(mine[: head_size(len(mine), least)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["id", "text_key", "size", "heads"])
+
+    own = source.mapInArrow(heads, "id long, text_key string, size int, heads array<long>").join(texts, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
+    placed = own.select("id", "size", F.posexplode("heads").alias("at", "h"))
+    by_shingle = Window.partitionBy("h")
+    shared = checkpointed(placed.withColumn("m", F.count(F.lit(1)).over(by_shingle)).where("m > 1"))
+    rooted = shared.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.withColumns({"low": F.min("root").over(by_shingle), "high": F.max("root").over(by_shingle)}).where("low < high")
+    apart = checkpointed(apart.select("h", "id", "root", "size", (F.col("size") - F.col("at")).alias("rest"), F.ceil(F.col("m") / share).alias("shares")))
+    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("id", "root", "size", "rest")]
+    left = apart.select("h", F.pmod(F.xxhash64("id"), "shares").alias("share"), *side("x"))
+    right = apart.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), *side("y"))
+    # similarity >= least means that at least least / (1 + least) of both sizes together is shared
+    enough = F.ceil(F.lit(least / (1 + least)) * (F.col("x_size") + F.col("y_size")) - 1e-6)
+    met = (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_rest", "y_rest") >= enough) & (F.least("x_size", "y_size") >= enough)
+    pairs = left.join(right, ["h", "share"]).where(met)
+    pairs = checkpointed(pairs.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct())
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(texts, "id").select(F.col("id").alias("doc_id"), "text_key")
+    held = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text")
+    held = checkpointed(held.mapInArrow(sets_of(shingle), "id long, shingles array<long>"))
+
+    def near(some: DataFrame) -> DataFrame:
+        both = some.join(held.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("id").alias("y"), F.col("shingles").alias("q")), "y")
+        both = both.withColumn("common", F.size(F.array_intersect("p", "q")))
+        return checkpointed(both.where(F.col("common") / (F.size("p") + F.size("q") - F.col("common")) >= least).select("a", "b").distinct())
+
+    first = near(pairs.groupBy("x", "b").agg(F.min("a").alias("a"), F.min("y").alias("y")))
+    now = components(first)
+    again = pairs
+    for c in ("a", "b"):
+        again = again.join(now.select(F.col("node").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    return first.unionByName(near(again.where("a <> b")))
+
+
+def joined_up(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) with the groups joined whose roots are linked by ``roots`` (a, b)."""
+    moved = components(roots)
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return grouped.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(moved.select("node", "root")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 1000) -> DataFrame:
     """(doc_id, text_key, kept_id): what stands for each row when one document of each group stays.
 
     Texts are equal, or near when the Jaccard similarity of their ``shingle``-word shingles is at
     least ``min_similarity``.  In order of doc_id, a text goes to the first kept text that it is near to;
     if there is none it is kept.  Candidates are texts in one component over ``spaces`` fingerprints of
-    their distinct words (measured on the prose of the test tables, 97 of 100 pairs with a similarity of 0.8
-    to 0.85 meet in one of eight, 99 of 100 above), each searched with the Gray-order index; similarity is then exact.  Components of
+    their distinct words, each searched with the Gray-order index, and over the near pairs that these miss
+    (``missed_pairs``), so every pair that is near enough meets; similarity is exact.  Components of
     more than ``together`` texts are worked off in rounds of so many, dealt over several tasks; smaller ones in one go.
 
     text_key: md5 of the text.  Null texts count as empty; texts without words are equal to each other;
@@ -406,17 +492,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
     edges = placed.join(owners, ["space", "fp"]).select(F.col("id").alias("a"), F.col("owner").alias("b")).where("a <> b").unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
     grouped = components(edges)
+    grouped = joined_up(grouped, missed_pairs(source, texts.select("text_key", "id"), grouped, shingle, min_similarity))
     members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
     sized = checkpointed(members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"))
     named = sized.join(texts.select(F.col("id").alias("node"), "text_key"), "node")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.int64()))], ["id", "root", "n", "shingles"])
-
     with_text = source.join(named.select(F.col("node").alias("doc_id"), "text_key", "root", "n"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    members = checkpointed(with_text.select("doc_id", "root", "n", "text").mapInArrow(sets_of, "id long, root long, n long, shingles array<long>"))
+    members = checkpointed(with_text.select(F.col("doc_id").alias("id"), "root", "n", "text").mapInArrow(sets_of(shingle), "id long, root long, n long, shingles array<long>"))
 
     def sets(table: pa.Table) -> list[np.ndarray]:
         return [np.array(x, np.int64).view(U64) for x in table.column("shingles").to_pylist()]

@@ -113,6 +113,32 @@ def test_near_copies(spark, empty, together):
     assert simhash.near_copies(empty).count() == 0
 
 
+def test_near_copies_after_block_edits(spark):
+    """Every near pair by brute force meets, whatever the edit: recall by kind of edit and similarity."""
+    rng = random.Random(17)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"
+    passage = lambda n: [word() for _ in range(n)]
+    boilerplate, rows, kinds = passage(40), [], {}
+    for k in range(160):
+        kind, n, share = ("replaced", "appended", "cut", "inserted")[k % 4], rng.randrange(60, 400), rng.uniform(0.02, 0.18)
+        base = passage(n) + (boilerplate if k % 3 == 0 else [])
+        edit = max(1, int(share * len(base)))
+        spot = rng.randrange(len(base))
+        if kind == "replaced":
+            copy = [word() if rng.random() < share / 8 else w for w in base]
+        else:
+            copy = {"appended": base + passage(edit), "cut": base[:-edit], "inserted": base[:spot] + passage(edit) + base[spot:]}[kind]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        kinds[2 * k + 1] = kind
+    want = {i: j for (i, _), j in brute.leaders(rows).items()}
+    got = {r["doc_id"]: r["kept_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = {kind: [got[i] == want[i] for i, k in kinds.items() if k == kind and want[i] != i] for kind in ("replaced", "appended", "cut", "inserted")}
+    recall = {kind: f"{sum(met)} of {len(met)}" for kind, met in found.items()}
+    print(recall)
+    assert all(len(met) >= 15 and all(met) for met in found.values()), recall
+    assert got == want
+
+
 def test_licences(spark, data, given, odd, odd_rows, empty):
     columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     same(Q["op9_licenses"](spark, data).select(*columns).collect(), brute.licences(given))
