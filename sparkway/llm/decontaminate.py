@@ -6,13 +6,16 @@ template tokens of documents and benchmark items are hash-joined.  Windows that
 other on one diagonal (equal distance between document and item) form a chain; a chain of
 ``run`` tokens, or of nearly the whole of a shorter item, is a finding if its slots are
 consistent: every value of the item always stands for one value of the document and the other way
-round.  So a question that was only re-parameterised is caught, and a passage that merely
+round.  Where values collide (two of the item for one of the document, or the other way round), the chain is
+split at the slots whose pair of values isn't the most frequent one of those that collide, and each part counts for
+itself.  So a question that was only re-parameterised is caught, and a passage that merely
 looks alike once its values are gone is not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, documents, window_hashes
+from .common import U64, checkpointed, documents, mix64, window_hashes
 
 # Units, and number words.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v a k c f pa bar j kj cal kcal b kb mb gb tb usd eur gbp dollar dollars euro euros cent cents percent degree degrees second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres pound pounds".split())
@@ -70,16 +73,26 @@ class Template:
         after_number = np.zeros(len(word), bool)
         after_number[1:] = kind[:-1] == NUMBER
         self.slot = (kind == NUMBER) | ((kind == TITLE) & ~opens) | ((kind == UNIT) & after_number)
-        self.hash = code[word] >> U64(3)
+        literal = code[word] >> U64(3)
+        self.hash, self.valued = literal.copy(), literal
         for k, value in SLOT.items():
             self.hash[self.slot & (kind == k)] = value
+        self.valued[self.slot] = mix64(literal[self.slot]) + self.hash[self.slot]
 
     def windows(self, size: int) -> np.ndarray:
-        return window_hashes(self.hash, size)
+        """Hash of each window; where most tokens are placeholders their values count, so that only verbatim copies are equal."""
+        hashes, thin = window_hashes(self.hash, size), self.fixed(size) * 2 < size
+        if thin.any():
+            hashes[thin] = ~window_hashes(self.valued, size)[thin]
+        return hashes
+
+    def places(self, start: int, size: int) -> list[int]:
+        """Where the placeholders of one window are."""
+        return np.flatnonzero(self.slot[start : start + size]).tolist()
 
     def slots(self, start: int, size: int) -> list[str]:
         """Values of the placeholders of one window, lower-cased."""
-        return [self.tokens[self.at[i]].lower() for i in range(start, start + size) if self.slot[i]]
+        return [self.tokens[self.at[start + i]].lower() for i in self.places(start, size)]
 
     def fixed(self, size: int) -> np.ndarray:
         """For each window, how many of its tokens are not placeholders."""
@@ -87,8 +100,28 @@ class Template:
         return total[size:] - total[:-size] if len(self.slot) >= size else np.zeros(0, int)
 
 
+def consistent_part(start: int, n_tokens: int, slots: list) -> tuple[int, int, int, bool]:
+    """(start, n_tokens, n_slots, verbatim) of the longest part of a chain between slots that collide.
+
+    slots: (at, item value, document value), sorted.  A pair of values stays if it occurs more often than every pair that
+    has one value in common with it.
+    """
+    pairs = Counter((a, b) for _, a, b in slots)
+    of_item, of_doc = defaultdict(list), defaultdict(list)
+    for (a, b), n in pairs.items():
+        of_item[a].append(n)
+        of_doc[b].append(n)
+    # most frequent on both sides, and the only one that is
+    leads = lambda n, counts: n == max(counts) and counts.count(n) == 1
+    stays = {(a, b) for (a, b), n in pairs.items() if leads(n, of_item[a]) and leads(n, of_doc[b])}
+    edges = [start - 1, *(at for at, a, b in slots if (a, b) not in stays), start + n_tokens]
+    length, before = max((z - a - 1, -a - 1) for a, z in zip(edges, edges[1:], strict=False))
+    inside = {(a, b) for at, a, b in slots if -before <= at < length - before}
+    return -before, length, len(inside), all(a == b for a, b in inside)
+
+
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, window: int = 8, least_tokens: int = 4) -> DataFrame:
-    """(size, hash, item_id, item_pos, item_tokens, item_slots) of all benchmark items.
+    """(size, hash, item_id, item_pos, item_tokens, item_at, item_slots) of all benchmark items.
 
     Items of fewer than ``window`` tokens have one window, the whole item; those of fewer than
     ``least_tokens`` say too little and have none.
@@ -105,23 +138,23 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                 if n < least_tokens:
                     continue
                 size = min(window, n)
-                hashes, fixed = template.windows(size).view(np.int64).tolist(), template.fixed(size)
-                rows += [(size, h, item, at, n, template.slots(at, size)) for at, h in enumerate(hashes) if fixed[at] * 2 >= size]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["size", "hash", "item_id", "item_pos", "item_tokens", "item_slots"])
+                hashes = template.windows(size).view(np.int64).tolist()
+                rows += [(size, h, item, at, n, template.places(at, size), template.slots(at, size)) for at, h in enumerate(hashes)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["size", "hash", "item_id", "item_pos", "item_tokens", "item_at", "item_slots"])
 
-    return source.mapInArrow(run, "size int, hash long, item_id long, item_pos long, item_tokens long, item_slots array<string>")
+    return source.mapInArrow(run, "size int, hash long, item_id long, item_pos long, item_tokens long, item_at array<int>, item_slots array<string>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, window: int = 8, run: int = 13, most_windows: int = 2_000_000) -> DataFrame:
     """(doc_id, text_key, item_id, start, n_tokens, n_slots, verbatim): one row for each document and item found.
 
-    start: first token of the longest chain; n_tokens: its length in template tokens; n_slots: values it
+    start: first token of the longest chain or part of one; n_tokens: its length in template tokens; n_slots: values it
     holds; verbatim: all values are those of the item.  text_key is a digest of the text.
 
     A finding needs a chain of ``run`` tokens, or of all but the first token of an item with
-    fewer.  Windows with more placeholders than other tokens don't count.  Null and empty
+    fewer.  Windows with more placeholders than other tokens count where they are verbatim.  Null and empty
     texts and items match nothing; repeated rows count once; a null doc_id or item_id stays
     null; an empty table gives an empty result; further columns are not read.  Up to ``most_windows``
     distinct item windows are sent to the scan as a filter; beyond that all windows are joined.
@@ -162,12 +195,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     group = ["doc_id", "text_key", "item_id", "item_tokens", "size", "diagonal"]
     order = Window.partitionBy(*group).orderBy("doc_pos")
     chained = pairs.withColumn("island", F.col("doc_pos") - F.row_number().over(order))
-    values = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots"))))
-    chains = chained.groupBy(*group, "island").agg(F.min("doc_pos").alias("start"), (F.count(F.lit(1)) + F.col("size") - 1).alias("n_tokens"), values.alias("values"))
+    # windows of an island follow each other: the first token of each, and the rest of the last one
+    valued = F.transform(F.arrays_zip("item_at", "item_slots", "doc_slots"), lambda v: F.struct((F.col("doc_pos") + v["item_at"]).alias("at"), v["item_slots"].alias("item"), v["doc_slots"].alias("doc")))
+    heads = F.collect_list(F.when(F.get("item_at", F.lit(0)) == 0, F.get("valued", F.lit(0))))
+    slots = F.array_sort(F.array_distinct(F.concat(heads, F.max_by("valued", "doc_pos"))))
+    chains = chained.withColumn("valued", valued).groupBy(*group, "island").agg(F.min("doc_pos").alias("start"), (F.count(F.lit(1)) + F.col("size") - 1).alias("n_tokens"), slots.alias("slots"))
     enough = F.least(F.lit(run), F.greatest(F.col("item_tokens") - 1, F.col("size")))
-    one_to_one = (F.size("values") == F.size(F.array_distinct("values.item_slots"))) & (F.size("values") == F.size(F.array_distinct("values.doc_slots")))
-    found = chains.where((F.col("n_tokens") >= enough) & one_to_one)
-    best = F.max(F.struct("n_tokens", (-F.col("start")).alias("before"), F.size("values").cast("long").alias("n_slots"), F.forall("values", lambda v: v["item_slots"] == v["doc_slots"]).alias("verbatim"))).alias("b")
+    values = F.array_distinct(F.transform("slots", lambda v: F.struct(v["item"].alias("item"), v["doc"].alias("doc"))))
+    one_to_one = (F.size("values") == F.size(F.array_distinct("values.item"))) & (F.size("values") == F.size(F.array_distinct("values.doc")))
+    long = chains.where(F.col("n_tokens") >= enough).withColumn("values", values).withColumn("whole", one_to_one)
+    part = F.udf(lambda start, n, slots: None if slots is None else consistent_part(start, n, slots), "start long, n_tokens long, n_slots long, verbatim boolean")
+    whole = F.struct("start", "n_tokens", F.size("values").cast("long").alias("n_slots"), F.forall("values", lambda v: v["item"] == v["doc"]).alias("verbatim"))
+    found = long.withColumn("part", part("start", "n_tokens", F.when(~F.col("whole"), F.col("slots")))).withColumn("p", F.when(F.col("whole"), whole).otherwise(F.col("part")))
+    found = found.select("doc_id", "text_key", "item_id", "item_tokens", "size", "p.*").where(F.col("n_tokens") >= enough)
+    best = F.max(F.struct("n_tokens", (-F.col("start")).alias("before"), "n_slots", "verbatim")).alias("b")
     return found.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", (-F.col("b.before")).alias("start"), "b.n_tokens", "b.n_slots", "b.verbatim")
 
 

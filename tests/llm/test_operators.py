@@ -271,3 +271,19 @@ def test_decontamination(spark, data, odd, empty):
     assert got == {(1, False), (2, True), (None, True)}
     assert decontaminate.contaminated(rows, asked, most_windows=1).count() == 3
     assert decontaminate.contaminated(odd, asked).count() == 0 == decontaminate.contaminated(empty, asked).count() == decontaminate.contaminated(rows, asked.limit(0)).count()
+
+
+def test_decontamination_beside_values_that_collide(spark):
+    rng = random.Random(8)
+    plain = lambda n: " ".join(rng.choice(["river", "stone", "under", "walks", "green", "toward", "opens", "slow"]) for _ in range(n))
+    item = f"{plain(20)} counts 12 apples and 15 pears {plain(20)}"
+    often = " ".join(f"{plain(6)} 9 {plain(3)}" for _ in range(4)) + f" then 120 {plain(2)}"
+    numbers = " ".join(map(str, rng.sample(range(1000), 20)))
+    other = " ".join(str(rng.randrange(1000, 2000)) for _ in range(20))
+    short = f"{plain(4)} 12 {plain(3)} 15 {plain(4)}"
+    asked = spark.createDataFrame([(1, item), (2, numbers), (3, short), (4, often)], "item_id long, text string")
+    rows = [(1, item.replace("15", "12")), (2, f"so {numbers} ok"), (3, other), (4, short.replace("15", "12")), (5, often.replace("120", "9")), (6, item), (7, item.replace("12", "30"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (2_000_000, 1):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame, asked, most_windows=most).collect()}
+        assert {k: (r["start"], r["n_tokens"], r["n_slots"], r["verbatim"]) for k, r in got.items()} == {(1, 1): (0, 21, 0, True), (2, 2): (1, 20, 20, True), (5, 4): (0, 41, 1, True), (6, 1): (0, 46, 2, True), (7, 1): (0, 46, 2, False)}
