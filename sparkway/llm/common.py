@@ -34,12 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests, a laptop)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs in one process (tests, a laptop)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkway-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -50,6 +52,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of keys of at most so many rows is sent to every task; a larger one is shuffled.
+MOST_SENT = 300_000
+
+
+def joined(frame: DataFrame, keys: DataFrame, on, how: str) -> DataFrame:
+    """``frame`` joined with a small table of keys, so that wide rows stay where they lie while the table is small enough."""
+    few = keys.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return frame.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def text_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes of text) of a table, in one narrow aggregate."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
@@ -61,9 +73,9 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
 
 
-def block_of(id_col: str, n_blocks: int):
-    """Block of a document: an even deal of doc_id that does not depend on its text."""
-    return F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.lit(n_blocks)).cast("int")
+def block_of(n_blocks: int, *columns):
+    """Block of a row: an even deal by the hash of some columns."""
+    return F.pmod(F.xxhash64(F.lit("block"), *columns), F.lit(n_blocks)).cast("int")
 
 
 def words_of(text: bytes | None) -> list[bytes]:

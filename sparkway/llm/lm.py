@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, block_of, bucket_bounds, documents, mix64, power_of_two, text_size, words_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_ENTRIES = 1 << 20
 KEY_BITS = 48
 REQUEST = "bucket int, block int, keys binary, counts binary"
@@ -111,8 +111,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_target, n_background = float(totals.get(True) or 0), float(totals.get(False) or 0)
     scale = n_target / n_background if n_target and n_background else 1.0
 
-    blocks = source.withColumn("block", block_of("doc_id", n_blocks)).groupBy("block")
-    dealt_roles = roles.select(block_of("doc_id", n_blocks).alias("block"), F.lit(None).cast("int").alias("bucket"), "doc_id", "target", F.lit(None).cast("binary").alias("counts"))
+    blocks = source.withColumn("block", block_of(n_blocks, "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))).groupBy("block")
+    dealt_roles = roles.select(block_of(n_blocks, "doc_id", F.lit(None).cast("binary")).alias("block"), F.lit(None).cast("int").alias("bucket"), "doc_id", "target", F.lit(None).cast("binary").alias("counts"))
 
     def ask(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(table, right)

@@ -1,10 +1,13 @@
 """Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every block of documents is a reference.  A document is factored greedily: at each
-position the longest run of ``window``-word phrases that one earlier document owns is a factor;
-where a factor breaks off, the phrase that starts inside its last words is looked up again in
-the other references, so spans are also found across factor boundaries.  Factors have at least
-``window`` words, and the words under them are the duplicate spans.
+Every block of documents is a reference; its index holds every ``window``-word phrase under the place where
+it stands first (smallest doc_id, then place).  A document is factored greedily: the first phrase that is indexed under an earlier
+document seeds a factor, which is extended along that document: it goes on while later phrases are indexed there
+at the same distance and their words join up, also across phrases that an even earlier document has.
+Where a factor ends, the phrases that start inside its last words are looked up again, so spans are also
+found across factor boundaries.  Factors have at least ``window`` words, and the words under them are
+the duplicate spans.  A phrase is indexed once, so a factor is the longest copy of indexed text that its seed begins; a
+longer one in a later document that repeats indexed text isn't looked for (it would cover the same words).
 
 The index is built and asked in two rounds of packed exchanges (see ``common``):
 
@@ -28,6 +31,7 @@ from .common import U64, block_of, bucket_bounds, documents, mix64, pack_bits, p
 
 BLOCK_BYTES = 8 << 20
 BUCKET_ENTRIES = 1 << 20
+PLACE = np.dtype([("doc", np.int64), ("tag", np.uint32), ("at", np.uint32)])
 RESULT = "doc_id long, n_words long, n_removed long, factors array<struct<start: long, end: long, source: long>>, kept_text string"
 
 
@@ -59,6 +63,11 @@ class Block:
             np.minimum(least, pieces[k : k + n], out=least)
         self.anchor = mix64(least)[self.at]  # minima crowd at the low end; mixed, they fill the buckets evenly
         self.owner = self.doc[self.at]
+        # where each phrase stands: document, then a tag of its text (rows can have equal ids), then place
+        self.place = np.zeros(len(self.at), PLACE)
+        self.place["doc"] = self.id_of[self.owner]
+        self.place["tag"] = np.array([xxhash.xxh32_intdigest(t or b"") for t in (texts[i] for i in order)], np.uint32)[self.owner] if len(self.at) else 0
+        self.place["at"] = self.at - self.starts[self.owner]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct anchors, and whether two documents of this block have them."""
@@ -73,18 +82,50 @@ class Block:
         return anchor[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
 
     def phrases(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions (in ``at``) of phrases with a repeated anchor; their sorted distinct hashes and smallest doc_ids."""
+        """Positions (in ``at``) of phrases with a repeated anchor; their sorted distinct hashes and first places."""
         anchors, _ = self.anchors()
         repeated = anchors[_answered(answers, len(anchors))]
         if not len(repeated):
-            return np.zeros(0, int), np.zeros(0, U64), np.zeros(0, np.int64)
+            return np.zeros(0, int), np.zeros(0, U64), np.zeros(0, PLACE)
         found = np.searchsorted(repeated, self.anchor)
         found[found == len(repeated)] = 0
         at = np.flatnonzero(repeated[found] == self.anchor)
-        order = np.argsort(self.phrase[at], kind="stable")  # stable: the smallest doc_id first
+        order = np.lexsort((*keys_of(self.place[at]), self.phrase[at]))
         hashes = self.phrase[at][order]
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        return at, hashes[first], self.id_of[self.owner[at][order][first]]
+        return at, hashes[first], self.place[at][order][first]
+
+
+def keys_of(places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The fields of places, least important first."""
+    return places["at"], places["tag"], places["doc"]
+
+
+def factors_of(starts: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, end, source document) of one document.
+
+    starts: where its phrases begin that are indexed under an earlier document, ascending; sources: the places there.  A
+    factor is seeded by the first phrase that no factor covers, and goes on along the seed's document as long
+    as that document has the next phrase at the same distance, at most ``window`` words on (so their words join or overlap).
+    Where it ends, the phrases that start in its last words are looked up again.
+    """
+    n = len(starts)
+    shift = starts - sources["at"]
+    lines = np.lexsort((starts, shift, sources["tag"], sources["doc"]))
+    a, b = lines[:-1], lines[1:]
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = (shift[a] == shift[b]) & (sources["tag"][a] == sources["tag"][b]) & (sources["doc"][a] == sources["doc"][b]) & (starts[b] - starts[a] <= window)
+    heads = np.flatnonzero(~goes_on)
+    last = np.empty(n, np.int64)
+    last[lines] = np.repeat(starts[lines[np.append(heads[1:], n) - 1]], np.diff(np.append(heads, n)))
+    ends = (last + window).tolist()
+    docs, begin, found, at, reached = sources["doc"].tolist(), starts.tolist(), [], 0, 0
+    while at < n:
+        reached = ends[at]
+        found.append((begin[at], reached, docs[at]))
+        # phrases that lie inside the factor are done; the next one reaches beyond it
+        at = int(np.searchsorted(starts, reached - window + 1))
+    return found
 
 
 def _answered(answers: pa.Table, n: int) -> np.ndarray:
@@ -142,8 +183,8 @@ def _answers(table: pa.Table, sizes: list[int], bits: np.ndarray, facts: list[by
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, anchor: int = 5, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """Relative Lempel-Ziv factors of every document and the text that is left.
 
-    Returns doc_id, n_words, n_removed, factors (start and end word, source: the smallest
-    doc_id that has the phrases) and kept_text (kept words joined by one space).  A word
+    Returns doc_id, n_words, n_removed, factors (start and end word, source: the
+    document copied) and kept_text (kept words joined by one space).  A word
     goes if it lies in ``window`` consecutive words that also stand in a document with a smaller doc_id.
 
     Null, empty and short texts have no phrases and lose nothing.  Rows with a null doc_id
@@ -156,7 +197,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     words = size / 6
     few, many = power_of_two(words / 5 / bucket_entries), power_of_two(words / bucket_entries)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = source.withColumn("block", block_of("doc_id", n_blocks))
+    blocks = source.withColumn("block", block_of(n_blocks, "doc_id", "text"))
 
     def ask_anchors(key: tuple, table: pa.Table) -> pa.Table:
         hashes, twice = Block(table, window, anchor).anchors()
@@ -173,9 +214,10 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
         return _requests(key[0].as_py(), hashes, least, many)
 
     def answer_phrases(table: pa.Table) -> pa.Table:
-        sizes, least, order, first, run = _merged(table, np.int64)
-        source_of = np.minimum.reduceat(least[order], first)[run]
-        earlier = source_of < least
+        sizes, least, order, first, run = _merged(table, PLACE)
+        by_place = np.lexsort((*keys_of(least), run))  # the first place of every run of equal hashes
+        source_of = least[by_place[first]][run]
+        earlier = source_of["doc"] < least["doc"]
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         press = zstandard.ZstdCompressor(level=1).compress
         facts = [press(source_of[a:b][earlier[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -190,24 +232,20 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
         unpress = zstandard.ZstdDecompressor().decompress
         sources = least.copy()
         if earlier.any():
-            sources[earlier] = np.concatenate([np.frombuffer(unpress(f), np.int64) for f in second.column("facts").to_pylist()])
+            sources[earlier] = np.concatenate([np.frombuffer(unpress(f), PLACE) for f in second.column("facts").to_pylist()])
         owner = block.owner[at]
-        source_of = sources[np.searchsorted(hashes, block.phrase[at])] if len(at) else np.zeros(0, np.int64)
-        hit = source_of < block.id_of[owner]
-        start, owner, source_of = block.at[at][hit], owner[hit], source_of[hit]
-        # a factor goes on while the next phrase starts one word later, in the same document, from the same source
-        new = np.ones(len(start), bool)
-        new[1:] = (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1]) | (source_of[1:] != source_of[:-1])
-        begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(start))[: len(begin)] - 1
-        covered = np.zeros(int(block.starts[-1]) + 1, np.int64)
-        np.add.at(covered, start[begin], 1)
-        np.add.at(covered, start[last] + window, -1)
-        keep = np.cumsum(covered[:-1]) == 0
+        source_of = sources[np.searchsorted(hashes, block.phrase[at])] if len(at) else np.zeros(0, PLACE)
+        hit = source_of["doc"] < block.id_of[owner]
+        start, owner, source_of = block.place["at"][at][hit].astype(np.int64), owner[hit], source_of[hit]
+        keep = np.ones(int(block.starts[-1]), bool)
         factors: list[list[dict]] = [[] for _ in block.ids]
-        for d, a, z, s in zip(owner[begin].tolist(), start[begin].tolist(), start[last].tolist(), source_of[begin].tolist(), strict=True):
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, int)
+        for a, z in zip(first.tolist(), np.append(first[1:], len(owner)).tolist(), strict=False):
+            d = int(owner[a])
             base = int(block.starts[d])
-            factors[d].append({"start": a - base, "end": z + window - base, "source": s})
+            for begin, end, source in factors_of(start[a:z], source_of[a:z], window):
+                keep[base + begin : base + end] = False
+                factors[d].append({"start": begin, "end": end, "source": source})
         kept, removed = [], []
         for words_, a, z in zip(block.words, block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True):
             mine = keep[a:z]
