@@ -8,8 +8,9 @@ with room, so counts are balanced by construction and only overflowing keys leav
 What follows a ring position is the same for all keys of one arc (between two points), so
 placement is decided for arcs, not rows: rows are counted by (arc, slice), the driver
 walks the overflow clockwise over that table, whose size depends on parameters alone, and every row
-finds its shard from its rank inside its (arc, slice).  Slices deal the keys of one arc over
-several tasks; rows with one doc_id are dealt over slices too, so that no key is hot.
+finds its shard from its rank inside its (arc, slice).  Slices deal the rows of one arc over
+several tasks, also those of one doc_id when their texts differ.  Slice and rank follow from what is in a row, so a
+row's shard doesn't depend on how the table is read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents
 
 RING_BITS = 48
+RUN = 65_536
 
 
 def ring_points(shards: int, virtual_nodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
 
     A null text counts as empty (crc32 0).  A null doc_id is a key like any other.  Rows
     with one doc_id share an arc but not a slot.  Ranks inside a slice go by ring position,
-    doc_id, checksum and size; rows that are equal in all of these are interchangeable.  An
+    doc_id, checksum and size; rows that are equal in all of these are interchangeable.  Partitions and order of
+    ``docs`` change nothing.  An
     empty table gives an empty result; further columns are not read.
     """
     positions, owners = ring_points(shards, virtual_nodes)
@@ -104,8 +107,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     ring = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 64 - RING_BITS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), ring.alias("ring"), F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"))
-    rows = checkpointed(rows.withColumn("arc", arc_of("ring")))  # slices depend on the reading order: fixed here
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), ring.alias("ring"), F.pmod(F.xxhash64(F.lit("slice"), id_col, text), F.lit(slices)).cast("int").alias("slice"))
+    rows = checkpointed(rows.withColumn("arc", arc_of("ring")))
     counts = np.zeros((len(positions), slices), np.int64)
     for r in rows.groupBy("arc", "slice").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most arcs x slices rows
         counts[r["arc"], r["slice"]] = r["n"]
@@ -113,7 +116,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     table = docs.sparkSession.createDataFrame(rules, "arc int, slice int, from_rank long, to_shard int, first_slot long, hops int")
     by_slice = table.groupBy("arc", "slice").agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_shard", "first_slot", "hops"))).alias("rules"))
     order = Window.partitionBy("arc", "slice").orderBy("ring", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    equal = rows.groupBy("arc", "slice", "ring", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"))
+    first = equal.withColumn("first", F.sum("n").over(order) - F.col("n"))
+    # equal rows are counted before they are shuffled, and given back a run at a time
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN))))
+    each = runs.withColumn("at", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, "n") - 1)))
+    ranked = each.withColumn("rank", F.col("first") + F.col("at"))
     # the table of rules has about arcs x slices rows, whatever the size of the input
     ruled = ranked.join(F.broadcast(by_slice), ["arc", "slice"])
     rule = F.element_at(F.filter("rules", lambda r: r["from_rank"] <= F.col("rank")), -1)
