@@ -12,25 +12,23 @@ answers of all blocks are merged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import U64, checkpointed
 
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 64
+QUERY_ROWS = 4096
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int, *more) -> DataFrame:
     """(vec_id, q array<long>, dims): floor(scale * x), without vectors that hold null or non-finite values."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null").where(fine)
-    return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("long")).alias("q"), F.size("x").alias("dims"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), *more).where("vec_id is not null and x is not null").where(fine)
+    return rows.select(*[c for c in rows.columns if c != "x"], F.transform("x", lambda v: F.floor(v * float(scale)).cast("long")).alias("q"), F.size("x").alias("dims"))
 
 
 class SlicedBlock:
@@ -92,12 +90,11 @@ class SlicedBlock:
             weight += 1
         return out, constant
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best rows (in no order), without the query's own id."""
+    def top(self, own: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """Ids and scores of the k best rows (in no order), without the rows in ``own``."""
         slices, constant = self.scores(query)
-        own = slice(np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, "right"))
         open_ = self.valid
-        if own.stop > own.start:
+        if len(own):
             mask = np.zeros(len(self.ids), bool)
             mask[own] = True
             open_ = open_ & ~_bitmap(mask, len(open_))
@@ -130,71 +127,73 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest inner product.
+def search(vectors: DataFrame, asks: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that meets ``asks`` the k other rows with the highest inner product.
+
+    Components become floor(scale * x).  Ties go to the smaller id.  A row never finds itself, but it finds
+    other rows with its id, equal ones too.  Vectors that are null or hold null or non-finite components, and rows with a
+    null id, take no part; vectors meet only vectors of as many components.  Equal rows (id and vector)
+    are one row of the index with at most k + 1 copies, as more can't be among k results; equal query rows give equal results
+    each.  Fewer than k candidates give fewer rows; an empty table gives none; further columns are not read.  Scores
+    have to fit a long.
 
-    Components become floor(scale * x).  Ties go to the smaller id.  A row never finds rows with
-    its own id.  Vectors that are null or hold null or non-finite components, and rows with a
-    null id, take no part; vectors meet only vectors of as many components.  Query rows with
-    one id count as one query (the smallest vector); repeated rows of ``vectors`` are rows of
-    their own.  Fewer than k candidates give fewer rows; an empty table gives none; further columns
-    are not read.  Scores have to fit a long.
+    Blocks of rows meet parts of queries: a task holds ``block_rows`` rows and ``query_rows`` queries at most, more or less as
+    hashing deals them, and builds the index of its block once.
     """
-    rows = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(queries, id_col, vector_col, scale).groupBy("vec_id", "dims").agg(F.min("q").alias("q"))
-    n_blocks = max(1, -(-rows.count() // block_rows))
-    n_queries = max(1, -(-asked.count() // query_rows))
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        dims = key[0].as_py()
-        values = table.column("q").combine_chunks().flatten().to_numpy().reshape(table.num_rows, dims)
-        ids, low, slices = SlicedBlock.build(table.column("vec_id").to_numpy(), values)
-        return pa.table({"dims": pa.array([dims], pa.int32()), "ids": [ids.tobytes()], "low": [low.tobytes()], "slices": [slices.tobytes()]})
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                dims = row["dims"]
-                ids = np.frombuffer(row["ids"], np.int64)
-                slices = np.frombuffer(row["slices"], U64).reshape(dims, -1, -(-len(ids) // 64)) if dims else np.zeros((0, 1, -(-len(ids) // 64)), U64)
-                block = SlicedBlock(ids, np.frombuffer(row["low"], np.int64), slices)
-                out: tuple[list, list, list] = ([], [], [])
-                for query in row["queries"]:
-                    found, scores = block.top(query["vec_id"], np.array(query["q"], np.int64), k)
-                    out[0].extend([query["vec_id"]] * len(scores))
-                    out[1].extend(found.tolist())
-                    out[2].extend(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
-
-    index = (
-        rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(n_blocks)))
-        .groupBy("dims", "block")
-        .applyInArrow(build, "dims int, ids binary, low binary, slices binary")
-    )
-    # every block meets every block of queries: the stated query set against all rows
-    pairs = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    parts = asked.groupBy("dims", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(n_queries)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
-    best = pairs.join(parts, ["dims", "part"]).select("dims", "ids", "low", "slices", "queries").mapInArrow(answer, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = F.coalesce(F.expr(asks) if isinstance(asks, str) else asks, F.lit(False))
+    rows = quantised(vectors, id_col, vector_col, scale, asked.alias("asks"))
+    rows = checkpointed(rows.groupBy("vec_id", "dims", "q").agg(F.count(F.lit(1)).alias("copies"), F.max("asks").alias("asks")))
+    sizes = rows.agg(F.sum(F.least("copies", F.lit(k + 1))).alias("rows"), F.count(F.when(F.col("asks"), 1)).alias("queries")).first()
+    n_blocks, n_parts = max(1, -(-(sizes["rows"] or 0) // block_rows)), max(1, -(-sizes["queries"] // query_rows))
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+
+    def answer(key: tuple, table: pa.Table, queries: pa.Table) -> pa.Table:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        if table.num_rows and queries.num_rows:
+            dims = key[0].as_py()
+            matrix = lambda t: t.column("q").combine_chunks().flatten().to_numpy().reshape(t.num_rows, dims)
+            ids, values, copy = table.column("vec_id").to_numpy(), matrix(table), table.column("copy").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, values, copy = ids[order], values[order], copy[order]
+            block = SlicedBlock(*SlicedBlock.build(ids, values))
+            for query_id, query, n in zip(queries.column("vec_id").to_pylist(), matrix(queries), queries.column("copies").to_pylist(), strict=True):
+                same = slice(*np.searchsorted(ids, (query_id, query_id + 1)))
+                own = same.start + np.flatnonzero((copy[same] == 0) & (values[same] == query).all(axis=1))
+                found, scores = block.top(own, query, k)
+                out[0].extend([query_id] * len(scores))
+                out[1].extend(found.tolist())
+                out[2].extend(scores)
+                out[3].extend([(query.tobytes(), n)] * len(scores))
+        which, n = zip(*out[3], strict=True) if out[3] else ((), ())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64()), "query": pa.array(which, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    hashed = lambda what, n, *columns: F.pmod(F.xxhash64(F.lit(what), *columns), F.lit(n)).cast("int")
+    copied = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least("copies", F.lit(k + 1)).cast("int") - 1)))
+    index = copied.select("dims", hashed("block", n_blocks, "vec_id", "q", "copy").alias("block"), F.explode(every(n_parts)).alias("part"), "vec_id", "q", "copy")
+    queries = rows.where("asks").select("dims", F.explode(every(n_blocks)).alias("block"), hashed("part", n_parts, "vec_id", "q").alias("part"), "vec_id", "q", "copies")
+    cell = ["dims", "block", "part"]
+    best = index.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(answer, "query_id long, vec_id long, score long, query binary, n long")
+    place = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    top = best.withColumn("rank", place).where(F.col("rank") <= k)
+    return top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest rows by integer inner product for every vec_id divisible by 50, over all embeddings."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+    return search(vectors, "vec_id % 50 = 0", k=5, scale=256)
 
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.own, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.own <> b.own AND len(a.q) = len(b.q)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
