@@ -10,12 +10,13 @@ and not stored as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -24,7 +25,6 @@ PIECE_BYTES = 4096
 LEAD_BYTES = 200
 #: A margin is (second smallest - smallest) / second smallest.
 CLEAR_MARGIN = 0.15
-MOST_LANGUAGES = 256
 NARROW_MARGIN = 0.005
 VERDICT = "struct<lang_pred: string, score: double, rejected: boolean>"
 
@@ -36,29 +36,23 @@ class Model:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", *, texts_per_language: int = 400, dictionary_bytes: int = 1 << 17) -> Model:
-    """A model from at most ``texts_per_language`` texts of each of at most MOST_LANGUAGES languages.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", *, texts_per_language: int = 400, dictionary_bytes: int = 1 << 17, most_languages: int = 256) -> Model:
+    """A model from a bounded sample: ``texts_per_language`` texts and ``dictionary_bytes`` of them, of the ``most_languages`` most frequent languages.
 
     The sample is the rows with the smallest hash of ``order_col`` and text, whatever their order; rows
     with a null text or language are not used.  Training rows are counted over the whole table.
     """
     keyed = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(order_col).cast("string"), text_col).alias("h")).where("lang is not null and text is not null")
-    counted = keyed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= texts_per_language)
-    last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    counts = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if len(last) > MOST_LANGUAGES:
-        raise ValueError(f"{len(last)} languages; at most {MOST_LANGUAGES} can have dictionaries")
-    texts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in last}
-    if last:
-        # bounded: texts_per_language texts of each language, each cut to what its dictionary can hold
-        chosen = keyed.where(F.coalesce(*[F.when(F.col("lang") == lang, F.col("h") <= h) for lang, h in last.items()]))
-        for r in chosen.dropDuplicates(["lang", "h"]).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text")).toLocalIterator():
+    counted = keyed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    counts = counted.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    texts: dict[str, list[tuple[int, bytes]]] = {r["lang"]: [] for r in counts}
+    if counts:
+        # hashes are spread evenly: this share of their range holds the wanted texts, and some more, of each language
+        share = {r["lang"]: min(1.0, (texts_per_language + 8 * math.sqrt(texts_per_language) + 64) / r["texts"]) for r in counts}
+        low = F.coalesce(*[F.when(F.col("lang") == lang, F.col("h") <= max(-(1 << 63), min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63)))) for lang, x in share.items()])
+        for r in keyed.where(low).groupBy("lang", "h").agg(F.first(F.substring("text", 1, dictionary_bytes)).alias("text")).toLocalIterator():
             texts[r["lang"]].append((r["h"], r["text"].lower().encode()))
-    made = []
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        made.append((lang, b"\n".join(t for _, t in sorted(texts[lang]))[:dictionary_bytes]))
-    return Model(tuple(made))
+    return Model(tuple((r["lang"], b"\n".join(t for _, t in sorted(texts[r["lang"]])[:texts_per_language])[:dictionary_bytes]) for r in counts))
 
 
 class Coder:
