@@ -42,6 +42,16 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # whole texts of the short public licences
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 
 #: Bytes that separate words become spaces, A-Z become a-z; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -59,8 +69,8 @@ class Automaton:
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    #: for each state and template, the end of the state's first occurrence there
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    #: for each state and template, where the state's words end there
+    ends: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
 
     def add(self, tokens: list[int]) -> None:
         last = 0
@@ -101,8 +111,8 @@ class Automaton:
         at = 0
         for end, token in enumerate(tokens, 1):
             at = state = self.step[at][token]
-            while state > 0 and template not in self.ends[state]:
-                self.ends[state][template] = end
+            while state > 0:
+                self.ends[state].setdefault(template, []).append(end)
                 state = self.link[state]
 
     def statistics(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
@@ -131,6 +141,8 @@ class Scanner:
         coded = [number(text) for _, text in templates]
         self.sizes = [len(c) for c in coded]
         phrase_codes = [(number(text), label) for text, label in phrases]
+        self.single = {c[0]: label for c, label in phrase_codes if len(c) == 1}  # found without the automaton
+        phrase_codes = [(c, label) for c, label in phrase_codes if len(c) > 1]
         self.automaton = Automaton()
         for tokens in [*coded, *(c for c, _ in phrase_codes)]:
             self.automaton.add(tokens)
@@ -163,13 +175,14 @@ class Scanner:
         codes = np.fromiter((get(w, none) for w in words), np.int32, len(words))
         # no match of two tokens or more crosses a pair that no template has: only runs between such pairs are streamed
         linked = np.flatnonzero(self.follows[codes[:-1], codes[1:]])
+        alone = np.flatnonzero(np.isin(codes, list(self.single))) if self.single else ()
+        places: list[tuple[int, str]] = [(int(at), self.single[int(codes[at])]) for at in alone]
         if not len(linked):
-            return len(words), [], []
+            return len(words), places, []
         cut = np.flatnonzero(np.diff(linked) != 1)
         firsts = linked[np.concatenate(([0], cut + 1))].tolist()
         lasts = (linked[np.concatenate((cut, [len(linked) - 1]))] + 1).tolist()
-        places: list[tuple[int, str]] = []
-        pieces: list[tuple[int, int, int, int]] = []  # template, end in the template, end in the text, length
+        pieces: list[tuple[int, list[int], int, int]] = []  # template, ends in the template, end in the text, length
         for a, z in zip(firsts, lasts, strict=True):
             before = (0, 0)
             for at, (state, length) in enumerate(self.automaton.statistics(codes[a : z + 1].tolist()), a):
@@ -180,29 +193,30 @@ class Scanner:
                     self._piece(pieces, *before, at)
                 before = (state, length)
             self._piece(pieces, *before, z + 1)
-        return len(words), places, self._chain(pieces)
+        return len(words), sorted(places), self._chain(pieces)
 
     def _piece(self, pieces: list, state: int, length: int, end: int) -> None:
         if length >= self.min_match:
             pieces += [(t, at, end, length) for t, at in self.automaton.ends[state].items()]
 
-    def _chain(self, pieces: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def _chain(self, pieces: list[tuple[int, list[int], int, int]]) -> list[tuple[str, int, int, float]]:
+        """Spans of chains: of the places a piece has in its template, a chain goes on at the first one behind what it has."""
         spans = []
-        pieces.sort()
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for t, inside, end, length in sorted(pieces, key=lambda p: (p[0], p[2])):
-            by_template.setdefault(t, []).append((inside, end, length))
+        by_template: dict[int, list[tuple[list[int], int, int]]] = {}
+        for t, ends, end, length in sorted(pieces, key=lambda p: (p[0], p[2])):
+            by_template.setdefault(t, []).append((ends, end, length))
         for t, found in by_template.items():
             start = stop = inside = covered = -1
-            for at, end, length in [*found, (0, 1 << 60, 0)]:
+            for ends, end, length in [*found, ([0], 1 << 60, 0)]:
                 begin = end - length
+                at = next((e for e in ends if e > inside), 0)
                 if start >= 0 and begin - stop <= self.max_gap and at > inside:
                     covered += min(length, at - inside, end - stop)
                     stop, inside = end, at
                     continue
                 if start >= 0 and covered >= self.min_cover * self.sizes[t]:
                     spans.append((self.labels[t], start, stop, min(1.0, covered / self.sizes[t])))
-                start, stop, inside, covered = begin, end, at, length
+                start, stop, inside, covered = begin, end, ends[0], length
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
