@@ -29,10 +29,27 @@ U64 = np.uint64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table."""
+    """The documents table; from here on the session's Arrow batches are small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bytes that are handed to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, so that a worker holds a few MB of texts and not 10,000 of them.
+
+    It stays so for the session, as results are computed after a query has returned.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    for name, most in limits.items():
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs in one process (tests, a laptop)."""
     context = spark.sparkContext

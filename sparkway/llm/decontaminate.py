@@ -14,6 +14,7 @@ looks alike once its values are gone is not.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 PLAIN, NUMBER, TITLE, UNIT, END = range(5)
 SLOT = {NUMBER: U64(11), TITLE: U64(13), UNIT: U64(17)}
-CACHED_TOKENS = 1_000_000
+CACHED_TOKENS = 200_000
 
 
 class Codes(dict):
@@ -151,7 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, text_key, item_id, start, n_tokens, n_slots, verbatim): one row for each document and item found.
 
     start: first token of the longest chain or part of one; n_tokens: its length in template tokens; n_slots: values it
-    holds; verbatim: all values are those of the item.  text_key is a digest of the text.
+    holds; verbatim: all values are those of the item.  text_key: md5 of the text.
 
     A finding needs a chain of ``run`` tokens, or of all but the first token of an item with
     fewer.  Windows with more placeholders than other tokens count where they are verbatim.  Null and empty
@@ -183,7 +184,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     if few:
                         place = np.minimum(np.searchsorted(known[size], hashes), len(known[size]) - 1)
                         hits = np.flatnonzero(known[size][place] == hashes)
-                    key = key or (xxhash.xxh3_128_hexdigest(body.encode()) if len(hits) else None)
+                    key = key or (hashlib.md5(body.encode()).hexdigest() if len(hits) else None)
                     rows += [(doc, key, size, int(hashes[at]), at, template.slots(at, size)) for at in hits.tolist()]
                 if len(rows) > 50_000:
                     yield _hits(rows)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, documents, mix64, window_hashes
+from .common import U64, checkpointed, documents, joined, mix64, window_hashes
 
 FANOUT = 8
+ROWS_AT_ONCE = 1024
 PAIRS_AT_ONCE = 1 << 17
 
 
@@ -332,7 +333,10 @@ def word_prints(words: list[bytes], spaces: int) -> list[int]:
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles (A-Z lower-cased); fewer words than a shingle are one shingle."""
-    words = text.lower().split() if text else []
+    return shingles_of(text.lower().split() if text else [], shingle)
+
+
+def shingles_of(words: list[bytes], shingle: int) -> np.ndarray:
     flat = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
     return np.unique(window_hashes(flat, min(shingle, len(flat)))) if len(flat) else np.zeros(1, U64)
 
@@ -342,44 +346,59 @@ def head_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
 
-class Leaders:
-    """Kept texts of one group, and the first of them that a text is near to.
+class Near:
+    """Classes of near texts among those of one task, asked by prefix filter.
 
-    Two sets with a Jaccard similarity of at least ``least`` share a hash among the smallest ones of each:
-    the first size - ceil(least * size) + 1 of the sorted set.  Only leaders that share one are compared.
+    Two sets with a Jaccard similarity of at least ``least`` share hashes among the smallest ones of each, the first
+    size - ceil(least * size) + 1 of the sorted set: as many as both need less what lies behind one of the heads.
+    Candidates that share most come first, and those of a class that is joined already are left out.
     """
 
-    AT_ONCE = 64
+    AT_ONCE = 16
 
-    def __init__(self, least: float):
+    def __init__(self, least: float, most: int):
         self.least = least
-        self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.sizes = np.zeros(most, np.int64)
+        self.label = np.arange(most)
         self.postings: dict[int, list[int]] = {}
 
-    def _head(self, mine: np.ndarray) -> list[int]:
-        return mine[: head_size(len(mine), self.least)].tolist()
-
-    def add(self, number: int, mine: np.ndarray) -> None:
-        for h in self._head(mine):
-            self.postings.setdefault(h, []).append(len(self.ids))
-        self.ids.append(number)
+    def similar(self, mine: np.ndarray, others: list[int]) -> np.ndarray:
+        """Of some sets, which are near to this one."""
+        flat = np.concatenate([self.sets[j] for j in others])
+        sizes = self.sizes[others]
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return shared / (len(mine) + sizes - shared) >= self.least
+
+    def add(self, mine: np.ndarray) -> list[tuple[int, int]]:
+        """Takes a set in; returns links (earlier, this one) that join it to the classes it is near to."""
+        this, n, edges = len(self.sets), len(mine), []
         self.sets.append(mine)
-
-    def first(self, mine: np.ndarray) -> int | None:
-        met = sorted({j for h in self._head(mine) for j in self.postings.get(h, ())})
-        low, high = len(mine) * self.least - 1e-9, len(mine) / self.least + 1e-9
-        met = [j for j in met if low <= len(self.sets[j]) <= high]
-        for at in range(0, len(met), self.AT_ONCE):
-            some = [self.sets[j] for j in met[at : at + self.AT_ONCE]]
-            sizes = np.array([len(x) for x in some])
-            flat = np.concatenate(some)
-            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-            shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-            near = np.flatnonzero(shared / (len(mine) + sizes - shared) >= self.least)
-            if len(near):
-                return self.ids[met[at + int(near[0])]]
-        return None
+        self.sizes[this] = n
+        head = mine[: head_size(n, self.least)].tolist()
+        lists = [self.postings[h] for h in head if h in self.postings]
+        if lists:
+            counts = np.bincount(np.fromiter(chain.from_iterable(lists), np.int64))
+            met = np.flatnonzero(counts)
+            sizes = self.sizes[met]
+            need = np.ceil(self.least / (1 + self.least) * (n + sizes) - 1e-6)
+            behind = np.maximum(n - len(head), np.ceil(self.least * sizes - 1e-9) - 1)
+            met = met[(counts[met] >= need - behind) & (np.minimum(n, sizes) >= need)]
+            met = met[np.argsort(-counts[met], kind="stable")]
+            while len(met):
+                some, met = met[: self.AT_ONCE], met[self.AT_ONCE :]
+                for other in some[self.similar(mine, some)].tolist():
+                    a, b = self.label[other], self.label[this]
+                    if a != b:
+                        edges.append((other, this))
+                        known = self.label[: this + 1]
+                        known[known == max(a, b)] = min(a, b)
+                if edges:
+                    met = met[self.label[met] != self.label[this]]
+        for h in head:
+            self.postings.setdefault(h, []).append(this)
+        return edges
 
 
 def sets_of(shingle: int):
@@ -387,156 +406,219 @@ def sets_of(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.columns[-1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
+            for part in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.columns[-1]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int64()))], [*part.schema.names[:-1], "shingles"])
 
     return run
 
 
-def missed_pairs(source: DataFrame, texts: DataFrame, grouped: DataFrame, shingle: int, least: float, *, sample: int = 16, hot: int = 8, most_hot: int = 500_000, share: int = 500) -> DataFrame:
-    """(a, b): roots to be joined so that no two texts with a similarity of at least ``least`` have different ones.
+def frequent_shingles(source: DataFrame, shingle: int, sample: int, hot: int, most_hot: int) -> np.ndarray:
+    """Sorted hashes of the shingles found ``hot`` times in one of ``sample`` texts, the ``most_hot`` most frequent at most."""
+    flat = source.where(F.pmod(F.xxhash64("text_key"), F.lit(sample)) == 0).select("text").mapInArrow(sets_of(shingle), "shingles array<long>")
+    common = flat.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+    return np.sort(np.array([r["h"] for r in common.orderBy(F.desc("n"), "h").limit(most_hot).select("h").toLocalIterator()], np.int64))
+
 
-    source: (doc_id, text_key, text); texts: (text_key, id); grouped: (node, root) so far.
+def signatures(source: DataFrame, shingle: int, least: float, spaces: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, size, n_rare, fps, heads): what candidates are found by, in one pass over the texts.
 
-    Prefix filter: with all shingles in one order, two near texts share one among the first of each
-    (``head_size``), sizes are within ``least``, and what follows the first one they share is
-    long enough.  Any order gives the same pairs; here shingles found ``hot`` times in one of ``sample`` texts
-    come last, so that common passages hardly make candidates.  A shingle at the head of more than ``share`` texts is
-    dealt over several tasks.  Of the candidates that link a text to a group one is compared first, and the others
-    only if that left them apart.
+    size: distinct shingles; heads: the first ``head_size`` of them when frequent ones come last; n_rare: how many
+    of those aren't frequent; fps: a fingerprint of the distinct words for each space.
     """
-    flat = source.where(F.pmod(F.xxhash64("text_key"), F.lit(sample)) == 0).select("text").mapInArrow(sets_of(shingle), "shingles array<long>")
-    common = flat.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
-    common = np.sort(np.array([r["h"] for r in common.orderBy(F.desc("n"), "h").limit(most_hot).select("h").toLocalIterator()], np.int64))
-    sent = source.sparkSession.sparkContext.broadcast(common)
+    sent = source.sparkSession.sparkContext.broadcast(frequent)
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for batch in batches:
-            made, sizes = [], []
-            for text in batch.column(2):
-                mine = shingle_set(text.as_py(), shingle).view(np.int64)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine
-                    mine = np.concatenate([mine[~late], mine[late]])
-                sizes.append(len(mine))
-                made.append(mine[: head_size(len(mine), least)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["id", "text_key", "size", "heads"])
-
-    own = source.mapInArrow(heads, "id long, text_key string, size int, heads array<long>").join(texts, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
-    placed = own.select("id", "size", F.posexplode("heads").alias("at", "h"))
-    by_shingle = Window.partitionBy("h")
-    shared = checkpointed(placed.withColumn("m", F.count(F.lit(1)).over(by_shingle)).where("m > 1"))
-    rooted = shared.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.withColumns({"low": F.min("root").over(by_shingle), "high": F.max("root").over(by_shingle)}).where("low < high")
-    apart = checkpointed(apart.select("h", "id", "root", "size", (F.col("size") - F.col("at")).alias("rest"), F.ceil(F.col("m") / share).alias("shares")))
-    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("id", "root", "size", "rest")]
-    left = apart.select("h", F.pmod(F.xxhash64("id"), "shares").alias("share"), *side("x"))
-    right = apart.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), *side("y"))
-    # similarity >= least means that at least least / (1 + least) of both sizes together is shared
-    enough = F.ceil(F.lit(least / (1 + least)) * (F.col("x_size") + F.col("y_size")) - 1e-6)
-    met = (F.col("x_id") < F.col("y_id")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_rest", "y_rest") >= enough) & (F.least("x_size", "y_size") >= enough)
-    pairs = left.join(right, ["h", "share"]).where(met)
-    pairs = checkpointed(pairs.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct())
-
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(texts, "id").select(F.col("id").alias("doc_id"), "text_key")
-    held = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), "text")
-    held = checkpointed(held.mapInArrow(sets_of(shingle), "id long, shingles array<long>"))
-
-    def near(some: DataFrame) -> DataFrame:
-        both = some.join(held.select(F.col("id").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("id").alias("y"), F.col("shingles").alias("q")), "y")
-        both = both.withColumn("common", F.size(F.array_intersect("p", "q")))
-        return checkpointed(both.where(F.col("common") / (F.size("p") + F.size("q") - F.col("common")) >= least).select("a", "b").distinct())
-
-    first = near(pairs.groupBy("x", "b").agg(F.min("a").alias("a"), F.min("y").alias("y")))
-    now = components(first)
-    again = pairs
-    for c in ("a", "b"):
-        again = again.join(now.select(F.col("node").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    return first.unionByName(near(again.where("a <> b")))
-
-
-def joined_up(grouped: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root) with the groups joined whose roots are linked by ``roots`` (a, b)."""
-    moved = components(roots)
-    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return grouped.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(moved.select("node", "root")).distinct()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 1000) -> DataFrame:
-    """(doc_id, text_key, kept_id): what stands for each row when one document of each group stays.
-
-    Texts are equal, or near when the Jaccard similarity of their ``shingle``-word shingles is at
-    least ``min_similarity``.  In order of doc_id, a text goes to the first kept text that it is near to;
-    if there is none it is kept.  Candidates are texts in one component over ``spaces`` fingerprints of
-    their distinct words, each searched with the Gray-order index, and over the near pairs that these miss
-    (``missed_pairs``), so every pair that is near enough meets; similarity is exact.  Components of
-    more than ``together`` texts are worked off in rounds of so many, dealt over several tasks; smaller ones in one go.
+            for part in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                sizes, rare, prints, heads = [], [], [], []
+                for text in part.column(2):
+                    words = (text.as_py() or b"").lower().split()
+                    prints.append(np.array(word_prints(words, spaces), U64).view(np.int64))
+                    mine = shingles_of(words, shingle).view(np.int64)
+                    late = np.zeros(len(mine), bool)
+                    if len(last):
+                        late = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine
+                        mine = np.concatenate([mine[~late], mine[late]])
+                    n = head_size(len(mine), least)
+                    sizes.append(len(mine))
+                    rare.append(min(n, len(mine) - int(late.sum())))
+                    heads.append(mine[:n])
+                made = [pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "text_key", "size", "n_rare", "fps", "heads"])
+
+    return source.mapInArrow(run, "doc_id long, text_key string, size int, n_rare int, fps array<long>, heads array<long>")
+
+
+def fingerprint_groups(texts: DataFrame, max_distance: int, group_limit: int) -> DataFrame:
+    """(node, root): texts that hang together over close fingerprints of any space; only those that have a partner.
+
+    texts: (node, fps).
+    """
+    placed = texts.select("node", F.posexplode("fps").alias("space", "fp"))
+    owners = checkpointed(placed.groupBy("space", "fp").agg(F.min("node").alias("owner")))
+    found = links(owners, max_distance=max_distance, group_limit=group_limit)
+    between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
+    equal = placed.join(owners, ["space", "fp"]).where("node <> owner").select(F.col("node").alias("a"), F.col("owner").alias("b"))
+    return with_roots(components(checkpointed(equal.unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b"))))))
+
+
+def with_roots(grouped: DataFrame) -> DataFrame:
+    """(node, root) with a row for every root too."""
+    return grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def near_within(groups: DataFrame, read, least: float, together: int) -> DataFrame:
+    """(a, b): near pairs whose components are those of all near pairs among the texts that meet in one task.
+
+    groups: (node, root).  Small groups share tasks of about ``together`` texts; a larger group is dealt over several.
+    read: adds the shingles to a table of nodes.
+    """
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sized = groups.join(sizes, "root")
+    tasks = max(1, -(-groups.count() // together))
+    small = F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    large = F.concat_ws("/", F.lit("l"), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / together)))
+    dealt = checkpointed(sized.select("node", F.when(F.col("n") > together, large).otherwise(small).alias("task")))
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, shingles = table.column("node").to_pylist(), table.column("shingles").combine_chunks()
+        flat, at = shingles.flatten().to_numpy().view(U64), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(shingles).to_numpy())))
+        index, edges = Near(least, len(nodes)), []
+        for k in range(len(nodes)):
+            edges += index.add(flat[at[k] : at[k + 1]])
+        return pa.table({"a": pa.array([nodes[i] for i, _ in edges], pa.int64()), "b": pa.array([nodes[j] for _, j in edges], pa.int64())})
+
+    return read(dealt).groupBy("task").applyInArrow(compare, "a long, b long")
+
+
+def shared_heads(texts: DataFrame) -> DataFrame:
+    """(h, node, size, n_heads): head shingles that several texts have.
+
+    Only frequent shingles can be at the head of very many texts, so a count over equal shingles sees few rows
+    of one; frequent ones need no count.
+    """
+    placed = texts.select("node", "size", "n_rare", F.size("heads").alias("n_heads"), F.posexplode("heads").alias("at", "h"))
+    placed = placed.select("h", "node", "size", "n_heads", (F.col("at") >= F.col("n_rare")).alias("frequent"))
+    rare = placed.where("NOT frequent").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1")
+    return rare.drop("m", "frequent").unionByName(placed.where("frequent").drop("frequent"))
+
+
+def needed(size: str, other: str, least: float) -> Column:
+    """Shingles that two texts of these sizes have in common at least: similarity >= least means least / (1 + least) of both together."""
+    return F.ceil(F.lit(least / (1 + least)) * (F.col(size) + F.col(other)) - 1e-6)
+
+
+def near_across(shared: DataFrame, roots: DataFrame, read, least: float, few: int, share: int, rounds: int = 3) -> DataFrame:
+    """(a, b): near pairs that join the classes in ``roots`` (node, root) to those of all near pairs.
+
+    Prefix filter: with all shingles in one order, two near texts share at their heads what both together need, less
+    what lies behind one of the heads.  So pairs are counted over the shingles they share, which leaves hardly a
+    pair that only has a passage in common.
+
+    A shingle at the head of more than ``few`` texts first links one text of each class to one of another, chosen anew for
+    each shingle and in each of the ``rounds``, so that a large family of copies is one class before its texts are
+    paired.
+    """
+    found = None
+    for turn in range(rounds):
+        luck = F.xxhash64("node", "h", F.lit(turn))
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_class = rooted.groupBy("h", "root").agg(F.min(F.struct(luck, "node", "size")).alias("x"), F.count(F.lit(1)).alias("n"))
+        firsts = by_class.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", "h", F.lit(turn)), "root", "x")).alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where((F.col("classes") > 1) & (F.col("n") > few))
+        star = by_class.drop("n").join(firsts.select("h", F.col("first.root").alias("low"), F.col("first.x").alias("y")), "h").where("root <> low")
+        star = star.where(F.least("x.size", "y.size") >= needed("x.size", "y.size", least))
+        tried = checkpointed(star.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
+        if tried.isEmpty():
+            break
+        more = checkpointed(near_pairs(tried, read, least))
+        if more.isEmpty():
+            break
+        found = more if found is None else found.unionByName(more)
+        roots = moved_on(roots, more)
+
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("h", F.ceil(F.col("n") / share).alias("shares"))
+    left_over = checkpointed(rooted.join(apart, "h"))
+    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "size", "n_heads")]
+    left = left_over.select("h", F.pmod(F.xxhash64("node"), "shares").alias("share"), *side("x"))
+    right = left_over.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), *side("y"))
+    enough = needed("x_size", "y_size", least)
+    met = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= enough)
+    behind = F.greatest(F.col("x_size") - F.col("x_n_heads"), F.col("y_size") - F.col("y_n_heads"))
+    counted = left.join(right, ["h", "share"]).where(met).groupBy("x_node", "y_node").agg(F.count(F.lit(1)).alias("n"), F.first(enough - behind).alias("least"))
+    pairs = counted.where("n >= least").select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+    last = near_pairs(checkpointed(pairs), read, least)
+    return last if found is None else found.unionByName(last)
+
+
+def moved_on(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) with the classes joined that ``edges`` (a, b) link."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    to = with_roots(components(checkpointed(between)))
+    kept = roots.join(to.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpointed(kept.unionByName(to).distinct())
+
+
+def near_pairs(pairs: DataFrame, read, least: float) -> DataFrame:
+    """(a, b): those of the pairs (x, y) that are near."""
+    held = checkpointed(read(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()))
+    both = pairs.join(held.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
+    both = both.withColumn("common", F.size(F.array_intersect("p", "q")))
+    return both.where(F.col("common") / (F.size("p") + F.size("q") - F.col("common")) >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, min_similarity: float = 0.8, spaces: int = 8, max_distance: int = 3, group_limit: int = 20_000, together: int = 1000, sample: int = 16, hot: int = 8, most_hot: int = 500_000, few: int = 50, share: int = 500) -> DataFrame:
+    """(doc_id, text_key, kept_id, stays) for each row: its class of near copies, by the smallest doc_id in it.
+
+    Texts are near when the Jaccard similarity of their ``shingle``-word shingles is at least ``min_similarity``; a class
+    holds what hangs together over near pairs.  stays: the row has the class's smallest doc_id (of texts
+    with one doc_id the one with the smallest text_key).
+
+    Candidates are texts in one component over ``spaces`` fingerprints of their distinct words, each searched with
+    the Gray-order index, and what these miss is found by an exact prefix filter over the shingles (``near_across``); similarity is
+    exact, so no pair is missed.  Texts are read where they lie; only fingerprints, heads and the shingles of candidates
+    are shuffled.  ``sample``, ``hot`` and ``most_hot`` say which shingles come last in the filter's order, ``together``, ``few`` and
+    ``share`` how work is dealt: none of them changes the result.
 
     text_key: md5 of the text.  Null texts count as empty; texts without words are equal to each other;
     rows with a null doc_id are left out (nothing can be kept for them); repeated rows
-    give repeated results; an empty table gives an empty result; further columns are not read.
+    give repeated results; an empty table gives an empty result; further columns are not read.  Shingles and
+    texts are told apart by 64-bit hashes.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").cast("binary").alias("text"))
-
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.array(word_prints((t.as_py() or b"").lower().split(), spaces), U64).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "text_key", "fps"])
-
-    rows = checkpointed(source.mapInArrow(prints_of, "doc_id long, text_key string, fps array<long>"))
-    texts = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min("fps").alias("fps")))
-    placed = texts.select("id", F.posexplode("fps").alias("space", "fp"))
-    owners = checkpointed(placed.groupBy("space", "fp").agg(F.min("id").alias("owner")))
-    found = links(owners, max_distance=max_distance, group_limit=group_limit)
-    between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
-    edges = placed.join(owners, ["space", "fp"]).select(F.col("id").alias("a"), F.col("owner").alias("b")).where("a <> b").unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    grouped = components(edges)
-    grouped = joined_up(grouped, missed_pairs(source, texts.select("text_key", "id"), grouped, shingle, min_similarity))
-    members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
-    sized = checkpointed(members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"))
-    named = sized.join(texts.select(F.col("id").alias("node"), "text_key"), "node")
-
-    with_text = source.join(named.select(F.col("node").alias("doc_id"), "text_key", "root", "n"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    members = checkpointed(with_text.select(F.col("doc_id").alias("id"), "root", "n", "text").mapInArrow(sets_of(shingle), "id long, root long, n long, shingles array<long>"))
-
-    def sets(table: pa.Table) -> list[np.ndarray]:
-        return [np.array(x, np.int64).view(U64) for x in table.column("shingles").to_pylist()]
-
-    def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        leaders, ids, stands = Leaders(min_similarity), table.column("id").to_pylist(), []
-        for number, mine in zip(ids, sets(table), strict=True):
-            home = leaders.first(mine)
-            if home is None:
-                leaders.add(number, mine)
-            stands.append(number if home is None else home)
-        return pa.table({"id": pa.array(ids, pa.int64()), "kept_id": pa.array(stands, pa.int64())})
-
-    def absorb(table: pa.Table, kept: pa.Table) -> pa.Table:
-        kept, leaders = kept.sort_by("id"), Leaders(min_similarity)
-        for number, mine in zip(kept.column("id").to_pylist(), sets(kept), strict=True):
-            leaders.add(number, mine)
-        homes = [leaders.first(mine) for mine in sets(table)]
-        return table.select(["id", "root", "n", "shingles"]).append_column("kept_id", pa.array(homes, pa.int64()))
-
-    settled = [members.where(F.col("n") <= together).groupBy("root").applyInArrow(settle, "id long, kept_id long")]
-    left = members.where(F.col("n") > together)
-    shares = F.ceil(F.col("n") / together).cast("int")
-    while not left.isEmpty():  # the next texts of each large component are settled in one task, the rest is dealt out and compared with those kept
-        place = F.row_number().over(Window.partitionBy("root").orderBy("id"))
-        heads = left.select("root", "id").withColumn("place", place).where(F.col("place") <= together).select("id")
-        done = checkpointed(left.join(heads, "id", "left_semi").groupBy("root").applyInArrow(settle, "id long, kept_id long"))
-        settled.append(done)
-        kept = left.join(done.where("id = kept_id").select("id"), "id", "left_semi").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
-        kept = kept.select(*[F.col(c).alias(c) for c in kept.columns])  # both sides come from one table
-        rest = left.join(done.select("id"), "id", "left_anti").withColumn("share", F.pmod(F.xxhash64("id"), shares))
-        judged = checkpointed(rest.groupBy("root", "share").cogroup(kept.groupBy("root", "share")).applyInArrow(absorb, "id long, root long, n long, shingles array<long>, kept_id long"))
-        settled.append(judged.where("kept_id is not null").select("id", "kept_id"))
-        left = judged.where("kept_id is null").drop("kept_id")
-    settled = reduce(DataFrame.unionByName, settled)
-    stand_ins = texts.select("text_key", "id").join(settled, "id", "left").select("text_key", F.coalesce("kept_id", "id").alias("kept_id"))
-    return rows.select("doc_id", "text_key").join(stand_ins, "text_key")
+    rows = checkpointed(signatures(source, shingle, min_similarity, spaces, frequent_shingles(source, shingle, sample, hot, most_hot)))
+    counted = rows.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = checkpointed(counted.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("n").alias("repeats")).withColumn("node", F.xxhash64("text_key")))
+    # one row of each text: those of texts that stand once, and the first of the others
+    copied = joined(rows, named.where("n > 1").select("text_key", "id"), "text_key", "left")
+    single = copied.where("id IS NULL OR id = doc_id").withColumn("node", F.xxhash64("text_key"))
+    if not named.where("repeats > 1").isEmpty():
+        single = single.dropDuplicates(["node"])
+    texts = single.select("node", "size", "n_rare", "fps", "heads")
+    keyed = named.select("node", F.col("id").alias("doc_id"), "text_key")
+
+    def read(nodes: DataFrame) -> DataFrame:
+        wanted = checkpointed(nodes.join(keyed, "node"))
+        found = joined(source, wanted, ["doc_id", "text_key"], "inner").select(*nodes.columns, "text")
+        found = found.mapInArrow(sets_of(shingle), ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", shingles array<long>")
+        return found.dropDuplicates(["node"]) if repeated else found
+
+    repeated = not named.where("repeats > 1").isEmpty()
+    within = checkpointed(near_within(checkpointed(fingerprint_groups(checkpointed(texts.select("node", "fps")), max_distance, group_limit)), read, min_similarity, together))
+    roots = with_roots(components(within))
+    across = near_across(checkpointed(shared_heads(texts)), checkpointed(roots), read, min_similarity, few, share)
+    classes = with_roots(components(checkpointed(within.unionByName(across))))
+    members = keyed.join(classes, "node")
+    kept = members.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    # texts that others are equal or near to; all other rows stand for themselves
+    moved = members.join(kept, "root").select("text_key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    moved = checkpointed(moved.unionByName(named.join(classes, "node", "left_anti").where("n > 1").select("text_key", F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"))))
+    judged = joined(rows.select("doc_id", "text_key"), moved, "text_key", "left")
+    stays = F.col("kept_id").isNull() | ((F.col("doc_id") == F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
+    return judged.select("doc_id", "text_key", F.coalesce("kept_id", "doc_id").alias("kept_id"), stays.alias("stays"))
 
 
 def text_key(text_col: str) -> Column:

@@ -43,6 +43,29 @@ def repeats(rows, window=13):
     return out
 
 
+def parse(rows, window=13):
+    """op3's factors: {doc_id: [(start, end, source)]} of rows with distinct ids."""
+    first: dict = {}
+    texts = {i: words(text) for i, text in rows if i is not None}
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - window + 1):
+            first.setdefault(tuple(texts[i][k : k + window]), (i, k))
+    out = {}
+    for i, w in texts.items():
+        source = {k: place for k in range(len(w) - window + 1) if (place := first[tuple(w[k : k + window])])[0] < i}
+        found, end = [], 0
+        for k in range(len(w) - window + 1):
+            if k in source and k + window > end:
+                doc, at = source[k]
+                last = k
+                while (more := [j for j in range(last + 1, last + window + 1) if source.get(j) == (doc, at + j - k)]):
+                    last = more[-1]
+                end = last + window
+                found.append((k, end, doc))
+        out[i] = found
+    return out
+
+
 def tokens(rows, path):
     """op4: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     from tokenizers import Tokenizer
@@ -94,25 +117,34 @@ def simhash_classes(rows, shingle=3):
     return [(i, f"{x:016x}", least.get(root[x])) for i, x in prints]
 
 
-def leaders(rows, shingle=5, least=0.8):
-    """Greedy near copies in order of doc_id, every text against every kept one: {(doc_id, text): kept id}."""
+def near_classes(rows, shingle=5, least=0.8):
+    """Near copies, every text against every other: {(doc_id, text): smallest doc_id of what hangs together}."""
 
     def sets(text):
         w = words(lower(text))
         k = min(shingle, len(w))
         return {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else {()}
 
-    kept, out, seen = [], {}, {}
-    for i, text in sorted({(i, t or "") for i, t in rows if i is not None}):
-        if text in seen:
-            out[i, text] = seen[text]
-            continue
-        mine = sets(text)
-        home = next((j for j, s in kept if len(s & mine) >= least * len(s | mine) - 1e-12), None)
-        if home is None:
-            kept.append((i, mine))
-        out[i, text] = seen[text] = i if home is None else home
-    return out
+    texts = sorted({t or "" for i, t in rows if i is not None})
+    made = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b, mine in enumerate(made):
+        for a in range(b):
+            low, high = sorted((len(mine), len(made[a])))
+            if low >= least * high - 1e-9 and len(made[a] & mine) >= least * len(made[a] | mine) - 1e-12:
+                root[find(b)] = find(a)
+    of = {t: find(k) for k, t in enumerate(texts)}
+    first: dict = {}
+    for i, t in rows:
+        if i is not None:
+            first[of[t or ""]] = min(first.get(of[t or ""], i), i)
+    return {(i, t or ""): first[of[t or ""]] for i, t in rows if i is not None}
 
 
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))

@@ -59,6 +59,15 @@ def test_substrings(spark, data, given, odd, odd_rows, empty):
     parsed = substrings.parse(odd, block_bytes=50_000, bucket_entries=500).collect()
     same([(r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for r in parsed], brute.repeats(odd_rows))
     assert any(f["source"] == 6 for r in parsed for f in r["factors"])
+    w = [f"w{k}" for k in range(60)]
+    rng = random.Random(4)
+    cut = lambda a: w[a : a + rng.randrange(5, 40)]
+    pieces = [(k, " ".join(x for _ in range(rng.randrange(1, 5)) for x in cut(rng.randrange(45)))) for k in range(60)]
+    three = [(1, " ".join(w[10:23])), (2, " ".join(w[:40])), (3, " ".join(w[:40]))]
+    for rows in (given, three, pieces):
+        found = substrings.parse(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=2000, bucket_entries=500).collect()
+        assert {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in found} == brute.parse(rows)
+    assert [tuple(f) for f in brute.parse(three)[3]] == [(0, 40, 2)]
     assert substrings.parse(empty).count() == 0
 
 
@@ -68,6 +77,7 @@ def test_bpe(spark, data, given, odd, odd_rows, empty):
     same(Q["op4_bpe"](spark, data).select(*columns).collect(), brute.tokens(given, path))
     coded = bpe.decode(bpe.encode(odd, path=path), path=path).collect()
     same([(r["doc_id"], r["n_tokens"], brute.sha(bytes(r["ids"])), brute.sha(r["decoded"])) for r in coded], brute.tokens(odd_rows, path))
+    assert sorted(map(tuple, coded), key=str) == sorted(map(tuple, bpe.coded(odd, path=path).collect()), key=str)
     assert bpe.decode(bpe.encode(empty, path=path), path=path).count() == 0
 
 
@@ -108,11 +118,32 @@ def test_near_copies(spark, empty, together):
     got = {(r["doc_id"], r["text_key"]): r["kept_id"] for r in simhash.near_copies(frame, together=together).collect()}
     import hashlib
 
-    want = {(i, hashlib.md5(t.encode()).hexdigest()): j for (i, t), j in brute.leaders(rows).items()}
+    want = {(i, hashlib.md5(t.encode()).hexdigest()): j for (i, t), j in brute.near_classes(rows).items()}
     assert got == want
     assert simhash.near_copies(empty).count() == 0
 
 
+def test_near_copies_of_a_whole_table(spark, data):
+    from pathlib import Path
+
+    larger = Path(data).parent / "sf0.01"
+    docs = spark.read.parquet(f"{larger if larger.exists() else data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = {i: j for (i, _), j in brute.near_classes(rows).items()}
+    got = {r["doc_id"]: r["kept_id"] for r in simhash.near_copies(docs).collect()}
+    assert got == want and any(i != j for i, j in want.items())
+
+
+def test_near_copies_of_a_large_family(spark):
+    """10,000 near copies of one text make one class, dealt over many tasks; a text beside them stays alone."""
+    rng = random.Random(23)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: (at := rng.randrange(110))], f"v{k}", *base[at:]])) for k in range(10_000)] + [(60_000, " ".join(base[:40])), (60_001, " ".join(base))]
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert {(r["kept_id"], r["n"]) for r in found.groupBy("kept_id").agg({"*": "count"}).toDF("kept_id", "n").collect()} == {(0, 10_001), (60_000, 1)}
+    assert [r["doc_id"] for r in found.where("stays").collect()] == [0, 60_000]
+
+
 def test_near_copies_after_block_edits(spark):
     """Every near pair by brute force meets, whatever the edit: recall by kind of edit and similarity."""
     rng = random.Random(17)
@@ -130,7 +161,7 @@ def test_near_copies_after_block_edits(spark):
             copy = {"appended": base + passage(edit), "cut": base[:-edit], "inserted": base[:spot] + passage(edit) + base[spot:]}[kind]
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
         kinds[2 * k + 1] = kind
-    want = {i: j for (i, _), j in brute.leaders(rows).items()}
+    want = {i: j for (i, _), j in brute.near_classes(rows).items()}
     got = {r["doc_id"]: r["kept_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     found = {kind: [got[i] == want[i] for i, k in kinds.items() if k == kind and want[i] != i] for kind in ("replaced", "appended", "cut", "inserted")}
     recall = {kind: f"{sum(met)} of {len(met)}" for kind, met in found.items()}
@@ -145,6 +176,14 @@ def test_licences(spark, data, given, odd, odd_rows, empty):
     found = licenses.scan(odd).collect()
     same([(r["doc_id"], r["n_words"], len(r["places"])) for r in found], [w[:3] for w in brute.licences(odd_rows)])
     assert any(s["label"] == "apache-2.0" for r in found for s in r["spans"])
+    texts = [(k, f"x y z {t} and so on") for k, (_, t) in enumerate(licenses.TEMPLATES)] + [(90, "released as WTFPL here"), (91, "a b c a b c a b d"), (92, "q c a b d")]
+    scanned = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), phrases=(*licenses.BASE_PHRASES, ("wtfpl", "wtfpl"))).collect()}
+    for k, (label, text) in enumerate(licenses.TEMPLATES):  # every template in a text is a whole span
+        n = len(licenses.words_of(text.encode()))
+        assert (label, 3, 3 + n, 1.0) in {tuple(s) for s in scanned[k]["spans"]}
+    assert [tuple(p) for p in scanned[90]["places"]] == [(2, "wtfpl")]
+    chained = licenses.scan(spark.createDataFrame(texts[-2:], "doc_id long, text string"), templates=(("abc", "a b c a b d"),), min_match=2).collect()
+    assert {(r["doc_id"], tuple(s)) for r in chained for s in r["spans"]} == {(91, ("abc", 0, 9, 1.0)), (92, ("abc", 1, 5, 4 / 6))}
     assert licenses.scan(empty).count() == 0
 
 
@@ -158,10 +197,60 @@ def test_personal_data(spark, data, given, odd, odd_rows, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def test_disclosing_terms_by_hand(spark):
+    """Every term and threshold from plain counts."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    rng = random.Random(9)
+    names = ["anna", "bert", "cleo", "dora"]
+    texts = [f"{rng.choice(names)} or {rng.choice(names)} wrote {rng.choice(names)}{k % 5}@mail.org on day {rng.choice(['one', 'two', 'three'])}" if k % 3 else " ".join(rng.choice([*names, "day", "one", "wrote", "or", "rain", "on"]) for _ in range(12)) for k in range(90)]
+    near, seen, total = Counter(), {}, Counter()
+    for text in texts:
+        spans = brute.personal(text)
+        at = [(a, z) for a, _, z in spans]
+        w = [m for m in pii.WORD.finditer(text) if not any(m.start() < z and a < m.end() for a, z in at)]
+        total.update(m.group().lower() for m in w)
+        for a, kind, z in spans:
+            value = xxhash.xxh3_64_intdigest(text[a:z]) >> 1
+            for m in [*[m for m in w if m.end() <= a][-6:], *[m for m in w if m.start() >= z][:6]]:
+                near[m.group().lower(), kind, value] += 1
+                seen.setdefault((m.group().lower(), kind, value), set()).add(text)
+    want, words = set(), sum(total.values())
+    for value in {None, *(v for _, _, v in near)}:
+        mine = Counter()
+        for (t, c, v), n in near.items():
+            if value in (None, v):
+                mine[t, c] += n
+        ic = -math.log(sum(mine.values()) / words)
+        for (t, c), n in mine.items():
+            enough = len({v for x, y, v in near if (x, y) == (t, c)}) >= 3 if value is None else len(seen[t, c, value]) >= 3
+            if enough and math.log(min(1.0, n / total[t])) + ic >= ic / 1.25 - 1e-12:
+                want.add((t, c, value))
+    got = {(r["term"], r["kind"], r["value"]) for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == want and want
+
+
+def test_many_addresses_in_one_text():
+    import time
+
+    text = " ".join(f"person{k}@host{k}.org wrote a line" for k in range(4000))
+    began = time.process_time()
+    assert len(pii.contexts(text, pii.patterns(text), 6, 100)) > 4000
+    assert time.process_time() - began < 2
+
+
 def test_terms_that_disclose(spark):
     rows = [(k, f"write to codename{'x' if k % 2 else 'y'} via person{k}@host.org now and read the common words here") for k in range(40)] + [(100 + k, "the common words here are now to read and write via other ways") for k in range(200)]
-    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 100").collect()
-    for r in found:
+    rows += [(300 + k, f"dear Zimmer please answer zimmer@host.org or leave a note {k} times") for k in range(5)] + [(400, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS own_key", "2 AS own_terms")
+    found = pii.sanitise(frame).orderBy("doc_id").collect()
+    assert found == pii.sanitise(frame, most_terms=1).orderBy("doc_id").collect()
+    one = next(r for r in found if r["doc_id"] == 300)
+    assert "Zimmer" in {one["text"][s["start"] : s["end"]] for s in one["pii"]["spans"] if s["kind"] == "term"} and "immer" not in one["pii"]["clean_text"]
+    for r in (r for r in found if r["doc_id"] < 100):
         terms = [r["text"][s["start"] : s["end"]] for s in r["pii"]["spans"] if s["kind"] == "term"]
         assert terms == ["codenamex" if r["doc_id"] % 2 else "codenamey"] and "codename" not in r["pii"]["clean_text"]
 
@@ -178,11 +267,17 @@ def test_sharding(spark, data, given, odd, odd_rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_a_further_shard_moves_few_rows(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=n).collect()} for n in (10, 11))
+def test_a_further_shard_moves_few_rows(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=n).collect()} for n in (40, 41))
     moved = sum(before[i] != after[i] for i in before)
-    assert moved < 0.5 * len(before)
+    assert 1 / 41 <= moved / len(before) < 0.055  # 2.4 % have to move
+
+
+def test_a_shard_does_not_depend_on_partitions(spark, odd):
+    docs = odd.unionByName(odd).select("doc_id", "text")
+    placed = [sorted(map(tuple, sharding.shard(docs.repartition(n), shards=7).collect()), key=key) for n in (3, 11)]
+    assert placed[0] == placed[1]
 
 
 def test_language(spark, data, odd, odd_rows, empty):
@@ -247,13 +342,20 @@ def test_topk(spark, data):
     vectors = {k: [rng.randrange(-3, 4) / 2 for _ in range(3)] for k in range(130)}
     rows = [(k, v) for k, v in vectors.items()] + [(200, None), (201, [1.0, None, 2.0]), (202, [float("nan"), 1.0, 1.0]), (203, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS dims", "2 AS q", "3 AS block", "4 AS part")
-    got = topk.search(frame, frame.where("vec_id % 50 = 0 OR vec_id > 199"), k=4, block_rows=17, query_rows=2).collect()
+    got = topk.search(frame, "vec_id % 50 = 0 OR vec_id > 199", k=4, block_rows=17, query_rows=2).collect()
     want = []
     for a in (0, 50, 100):
         scored = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(vectors[a], v, strict=True)), b) for b, v in vectors.items() if b != a)
         want += [(a, place, b, -s) for place, (s, b) in enumerate(scored[:4], 1)]
     same([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got], want)
-    assert topk.search(frame.limit(0), frame.limit(0)).count() == 0
+    assert topk.search(frame.limit(0), "true").count() == 0
+    twice = [(50, [1.0, 2.0]), (50, [2.0, 1.0]), (51, [1.0, 1.0]), *[(7, [1.0, 2.0])] * 9, (50, [1.0, 2.0])]
+    got = topk.search(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), "vec_id = 50", k=3, scale=1).collect()
+    want = []
+    for a, (i, x) in enumerate(twice):
+        scored = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), j) for b, (j, y) in enumerate(twice) if b != a)
+        want += [(i, place, j, -int(s)) for place, (s, j) in enumerate(scored[:3], 1)] if i == 50 else []
+    same([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got], want)
 
 
 def test_decontamination(spark, data, odd, empty):
