@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkway.llm import bpe, decontaminate, langid, pii, simhash
-from sparkway.llm.common import documents, shared_folder
+from sparkway.llm.common import checkpointed, documents, joined, shared_folder, small_batches
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from ``docs`` that are not held out.  Null texts and texts without a letter go.
     """
+    small_batches(spark)
     model = langid.train(docs.where(~langid.held_out()))
     verdict = _fresh(docs, "verdict")
     judged = docs.withColumn(verdict, langid.verdicts(model, F.col("text")))
@@ -39,30 +40,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal or near texts, the one with the smallest doc_id.
+    """Keeps one document of each class of equal or near texts, the one with the smallest doc_id.
 
-    Repeated rows of a kept document become one.  Rows with a null doc_id stay.
+    Repeated rows of a kept document become one.  Rows with a null doc_id stay.  Texts stay where they lie: only
+    the keys of rows that go are sent or shuffled.
     """
-    groups = simhash.near_copies(docs, shingle=5, min_similarity=0.8)
-    kept = groups.where("doc_id = kept_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = _fresh(docs, "text_key")
-    keyed = docs.withColumn(key, simhash.text_key("text"))
-    chosen = keyed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col(key) == F.col("_key")), "left_semi").dropDuplicates(["doc_id", key])
-    return chosen.unionByName(keyed.where("doc_id is null")).select(*_own(docs))
+    small_batches(spark)
+    judged = checkpointed(simhash.near_copies(docs, shingle=5, min_similarity=0.8))
+    gone = checkpointed(judged.where("NOT stays").select("doc_id", "text_key").distinct())
+    again = checkpointed(judged.where("stays").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    left = _keyed(docs, gone, "left_anti")
+    if not again.isEmpty():
+        key = _fresh(docs, "text_key")
+        twice = _keyed(left, again, "left_semi").withColumn(key, simhash.text_key("text")).dropDuplicates(["doc_id", key])
+        left = _keyed(left, again, "left_anti").unionByName(twice.select(*_own(docs)))
+    return left
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, verbatim or re-parameterised.
 
-    Texts, not ids, are matched, so rows with a null doc_id are judged too.
+    Texts are judged, so rows with a null doc_id and repeated rows are too; null and empty texts hold nothing and stay; an
+    empty table stays empty.
     """
+    small_batches(spark)
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*_own(docs))
+    return _keyed(docs, checkpointed(found.select("doc_id", "text_key").distinct()), "left_anti")
+
+
+def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of documents with (doc_id, text_key); a null doc_id equals another."""
+    sent = keys.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_doc_key"), F.col("text_key").alias("_text_key"))
+    doc_key, text_key = _fresh(docs, "doc_key"), _fresh(docs, "text_key")
+    keyed = docs.withColumns({doc_key: F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_key: simhash.text_key("text")})
+    return joined(keyed, sent, (F.col(doc_key) == F.col("_doc_key")) & (F.col(text_key) == F.col("_text_key")), how).select(*_own(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and terms that disclose it, in the text; n_chars follows.  No document goes."""
+    small_batches(spark)
     into = _fresh(docs, "pii")
     clean = pii.sanitise(docs, into=into)
     text = F.col(f"{into}.clean_text")
@@ -73,9 +89,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and digests of ids and decoded text."""
-    coded = bpe.decode(bpe.encode(docs, path=VOCABULARY), path=VOCABULARY)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of every document and digests of ids and decoded text.  Null and empty texts have no tokens."""
+    small_batches(spark)
+    return bpe.coded(docs, path=VOCABULARY).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def _own(docs: DataFrame) -> list:
