@@ -2,57 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Drivable road classes with their default speed in km/h.
-CLASS_SPEED = {"motorway": 110, "trunk": 90, "primary": 80, "secondary": 70, "tertiary": 60, "residential": 30}
-# Classes that are known and not drivable.
-NOT_DRIVABLE = ("cycleway", "footway", "steps", "track")
-# Access values that allow driving; one-way values by direction.
-ALLOWED_ACCESS = ("yes", "permissive", "designated", "destination")
+# Drivable road classes with their free-flow speed in km/h.
+CLASS_SPEED = {
+    "motorway": 110, "motorway_link": 50, "trunk": 90, "trunk_link": 45, "primary": 70, "primary_link": 40, "secondary": 60, "secondary_link": 35,
+    "tertiary": 50, "tertiary_link": 30, "unclassified": 40, "residential": 30, "living_street": 10, "service": 15, "road": 20,
+}
+# Classes that are known and never driven on.
+EXCLUDED_CLASSES = ("busway", "bus_guideway", "escape", "rest_area", "services", "via_ferrata", "bus_stop", "emergency_bay", "ladder", "street_lamp")
+# Posted speeds by name, in km/h.
+SYMBOLIC_SPEED = {"SI:urban": 50, "SI:rural": 90, "SI:motorway": 130, "SI:trunk": 110, "walk": 5}
+# Access tags from the most to the least specific, values that allow driving, one-way values by direction.
+ACCESS_TAGS = ("motorcar", "motor_vehicle", "vehicle", "access")
+ALLOWED_ACCESS = ("yes", "permissive", "designated", "official")
 FORWARD, BACKWARD, BOTH = ("yes", "true", "1"), ("-1", "reverse"), ("no", "false", "0")
 MPH = 1.609344
+LEAST_SPEED, MOST_SPEED = 1.0, 140.0
 
 
-def admitted(road_class: Column) -> Column:
-    """True for drivable classes, false for known others; an unknown class is an error, not a drop."""
-    known = F.when(road_class.isin(*CLASS_SPEED), True).when(road_class.isin(*NOT_DRIVABLE), False)
-    return known.otherwise(F.raise_error(F.concat(F.lit("unknown road class: "), F.coalesce(road_class, F.lit("null")))).cast("boolean"))
+def tag(value: Column) -> Column:
+    """A tag without white space around it; an empty one is none."""
+    return F.nullif(F.trim(value), F.lit(""))
 
 
-def access_allowed(*ranked: Column) -> Column:
-    """The most specific access tag that is set decides; no tag allows."""
-    return F.coalesce(F.coalesce(*ranked).isin(*ALLOWED_ACCESS), F.lit(True))
+def known_class(road_class: Column) -> Column:
+    """The class itself; one that has neither a speed nor an exclusion is an error, not a drop."""
+    wrong = F.raise_error(F.concat(F.lit("unknown road class: "), F.coalesce(road_class, F.lit("null")))).cast("string")
+    return F.when(road_class.isin(*CLASS_SPEED, *EXCLUDED_CLASSES), road_class).otherwise(wrong)
 
 
-def unconditional(*conditional: Column) -> Column:
-    """No conditional restriction is set."""
-    return F.coalesce(*conditional).isNull()
+def effective_oneway(ranked: list[Column], junction: Column, road_class: Column) -> Column:
+    """The most specific one-way tag; without one, roundabouts and motorways are one-way."""
+    untagged = F.when((junction == "roundabout") | (road_class == "motorway"), "yes").otherwise("no")
+    return F.coalesce(*ranked, untagged)
 
 
-def directions(oneway: Column, roundabout: Column, road_class: Column) -> Column:
-    """[1], [-1] or [1, -1]; without a tag, roundabouts and motorways are one-way."""
-    one, back, both = (F.array(*map(F.lit, d)) for d in ((1,), (-1,), (1, -1)))
-    untagged = F.when(F.coalesce(roundabout, F.lit(False)) | (road_class == "motorway"), one).otherwise(both)
-    return F.when(oneway.isNull(), untagged).when(oneway.isin(*FORWARD), one).when(oneway.isin(*BACKWARD), back).when(oneway.isin(*BOTH), both)
+def directions(oneway: Column) -> Column:
+    """[1], [-1] or [1, -1]; none for a value that isn't known."""
+    one, back, both, none = (F.array(*map(F.lit, d)).cast("array<int>") for d in ((1,), (-1,), (1, -1), ()))
+    return F.when(oneway.isin(*FORWARD), one).when(oneway.isin(*BACKWARD), back).when(oneway.isin(*BOTH), both).otherwise(none)
 
 
-def posted_speed(tag: Column) -> Column:
-    """km/h: the least usable of a ;-separated list, mph converted; 0 and less or over 300 is none."""
-    number = lambda s: F.regexp_extract(s, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(mph|km/h|kmh)?\s*$", 1)
-    unit = lambda s: F.regexp_extract(s, r"(mph)\s*$", 1)
-    speed = lambda s: F.when(number(s) != "", number(s).cast("double") * F.when(unit(s) == "mph", MPH).otherwise(1.0))
-    parsed = F.transform(F.split(tag, ";"), speed)
-    return F.array_min(F.filter(parsed, lambda v: v.isNotNull() & (v > 0) & (v <= 300)))
+def excluded_reason(road_class: Column, access: Column, conditional_access: Column, conditional_oneway: Column, oneway: Column) -> Column:
+    """Why a way isn't driven on, null if it is; of several reasons the last rule that applies."""
+    return (
+        F.when(F.size(directions(oneway)) == 0, "unsupported_oneway")
+        .when(road_class.isin(*EXCLUDED_CLASSES), "highway_class")
+        .when(conditional_oneway.isNotNull(), "conditional_oneway")
+        .when(conditional_access.isNotNull(), "conditional_access")
+        .when(access.isNotNull() & ~access.isin(*ALLOWED_ACCESS), "restricted_or_unknown_access")
+    )
 
 
-def effective_speed(road_class: Column, posted: Column, low: float = 5.0, high: float = 130.0) -> Column:
+def posted_speed(value: Column) -> Column:
+    """km/h: a name, or the least of a ;-separated list.  One part that isn't a speed over 0 and up to 300 makes the whole value none."""
+    value = tag(value)
+    named = F.coalesce(*[F.when(value == name, float(v)) for name, v in SYMBOLIC_SPEED.items()])
+    pattern = r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*(mph|km/h|kmh|kph)?$"
+    number = lambda s: F.nullif(F.regexp_extract(F.trim(s), pattern, 1), F.lit("")).cast("double")
+    speed = lambda s: number(s) * F.when(F.lower(F.regexp_extract(F.trim(s), pattern, 2)) == "mph", MPH).otherwise(1.0)
+    parts = F.transform(F.split(value, ";"), speed)
+    usable = F.forall(parts, lambda v: v.isNotNull() & (v > 0) & (v <= 300))
+    return F.coalesce(named, F.when(usable, F.array_min(parts)))
+
+
+def effective_speed(road_class: Column, posted: Column, low: float = LEAST_SPEED, high: float = MOST_SPEED) -> Column:
     """The smaller of class and posted speed, kept between two bounds."""
     by_class = F.coalesce(*[F.when(road_class == c, float(v)) for c, v in CLASS_SPEED.items()])
     return F.greatest(F.lit(low), F.least(F.lit(high), by_class, posted))
 
 
+def admitted_ways(ways: DataFrame) -> DataFrame:
+    """(way_id, direction, excluded_reason, speed, posted): a row for each direction that is driven, one with direction 0 for a way that isn't.
+
+    ways: way_id, road_class, access tags, oneway, oneway_motorcar, oneway_motor_vehicle, junction, conditional_access,
+    conditional_oneway, maxspeed, maxspeed_forward, maxspeed_backward.
+    """
+    text = ways.select("way_id", "road_class", *[tag(F.col(c)).alias(c) for c in ways.columns if c not in ("way_id", "road_class")])
+    road_class = known_class(F.col("road_class"))
+    oneway = effective_oneway([F.col("oneway_motorcar"), F.col("oneway_motor_vehicle"), F.col("oneway")], F.col("junction"), F.col("road_class"))
+    judged = text.withColumns({"road_class": road_class, "oneway_used": oneway})
+    reason = excluded_reason(F.col("road_class"), F.coalesce(*map(F.col, ACCESS_TAGS)), F.col("conditional_access"), F.col("conditional_oneway"), F.col("oneway_used"))
+    judged = judged.withColumn("excluded_reason", reason)
+    ways_of = F.when(F.col("excluded_reason").isNotNull(), F.array(F.lit(0))).otherwise(directions(F.col("oneway_used")))
+    dealt = judged.withColumn("direction", F.explode(ways_of))
+    by_direction = F.coalesce(F.when(F.col("direction") == -1, F.col("maxspeed_backward")).otherwise(F.col("maxspeed_forward")), F.col("maxspeed"))
+    driven = F.col("direction") != 0
+    posted = dealt.withColumn("posted", F.when(driven, posted_speed(by_direction)))
+    return posted.select("way_id", "direction", "excluded_reason", F.when(driven, effective_speed(F.col("road_class"), F.col("posted"))).alias("speed"), "posted")
+
+
 def travel_time(length_m: Column, speed_kmh: Column) -> Column:
     return length_m * 3.6 / speed_kmh
 

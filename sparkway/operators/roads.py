@@ -52,6 +52,20 @@ def selected_legs(edges: DataFrame, sources: DataFrame) -> DataFrame:
             return labels.select("origin", "node", "best.time_s", "best.length_m", "best.path")
 
 
+def path_faults(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node, fault) of paths (origin, node, path, time_s, length_m) that the edges don't bear out.
+
+    fault: 'end' (first or last node), 'edge' (a step that is no edge), 'time' or 'length' (sums differ); the first that applies.
+    """
+    steps = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("source"), F.slice("path", 2, F.size("path") - 1).alias("target"))
+    stepped = paths.select("origin", "node", F.explode(steps).alias("s")).select("origin", "node", F.col("s.source").alias("source"), F.col("s.target").alias("target"))
+    sums = stepped.join(edges, ["source", "target"]).groupBy("origin", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("time_s").alias("t"), F.sum("length_m").alias("m"))
+    held = paths.join(sums, ["origin", "node"], "left").na.fill(0, ["n", "t", "m"])
+    ends = (F.element_at("path", 1) != F.col("origin")) | (F.element_at("path", -1) != F.col("node"))
+    fault = F.when(ends, "end").when(F.col("n") != F.size("path") - 1, "edge").when(F.col("t") != F.col("time_s"), "time").when(F.col("m") != F.col("length_m"), "length")
+    return held.select("origin", "node", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def through_costs(edges: DataFrame, trips: DataFrame) -> DataFrame:
     """(origin, destination, node, forward, backward, through, direct) for nodes on some walk from origin to destination."""
     forward = distances(edges, trips.select("origin").distinct()).withColumnRenamed("dist", "forward")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import checkpointed
+
 
 def status_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -18,18 +20,72 @@ def threshold_shares(slots: DataFrame, thresholds: list[int], finished: Column,
     return made.select("*", *[share(t, n) for t in thresholds for n in ("n_full", "n_supported")])
 
 
+def running_counts(counted: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``counted`` (with a count n) with one more column: the rows of the same keys up to and with this one, in ``order``.
+
+    Rows are dealt by ranges of keys and order, summed inside each range, and offset by what earlier ranges hold: one row
+    for each range and key.  So a key with very many values is spread over tasks.
+    """
+    dealt = checkpointed(counted.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.groupBy(*keys, "_range").agg(F.sum("n").alias("_held"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = held.select(*keys, "_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn(name, F.sum("n").over(inside)).join(offset, [*keys, "_range"])
+    return ranked.withColumn(name, F.col(name) + F.col("_before")).drop("_before", "_range")
+
+
+def linear_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """(keys, n, q<per mille>): exact quantiles, linear between the two order statistics around (n - 1) q.
+
+    Nulls don't count; keys without a value have no row.  Keys are not null.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_counts(counted, keys, ["v"], "upto").join(counted.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+    out = []
+    for q in quantiles:
+        place = (F.col("total") - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.first(place - F.floor(place))).alias(f"q{round(q * 1000)}"))
+    return ranked.groupBy(*keys).agg(F.first("total").alias("n"), *out)
+
+
+def distribution(rows: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """Counts of all, finite and infinite values, quantiles and largest of the finite ones, and whether the worst is infinite.
+
+    Infinite values stay in the counts and never enter a quantile; nulls and NaN are no values.
+    """
+    v = F.col(value).cast("double")
+    some = rows.where(v.isNotNull() & ~F.isnan(v))
+    finite = F.abs(v) < float("inf")
+    counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("evaluations"), F.count(F.when(finite, 1)).alias("finite_evaluations"), F.count(F.when(~finite, 1)).alias("infinite_evaluations"), F.max(F.when(finite, v)).alias("worst_finite"), (F.max(v) == float("inf")).alias("worst_is_infinite"))
+    return counts.join(linear_quantiles(some.where(finite), keys, value, quantiles).drop("n"), keys, "left")
+
+
+def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Sum of weight x value over sum of weights; null where the weights sum to zero."""
+    total = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(total, F.lit(0))).alias("weighted_mean"))
+
+
+def with_group_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the mean of their group; groups are aggregated before they meet their rows."""
+    return rows.join(rows.groupBy(*keys).agg(F.avg(value).alias("group_mean")), keys)
+
+
 def censored_quantiles(rows: DataFrame, keys: list[str], value: str, censored: Column, per_mille: list[int]) -> DataFrame:
     """Bounds of order statistics when some values are only known to be at least ``value``.
 
     The lower bound takes censored values as they are, the upper bound as unbounded (null).  The median
     averages the middle pair; other quantiles q take rank ceil(q n).  Counts of distinct values are
-    aggregated first, so no group of values meets in one task.
+    aggregated first and then ranked by ranges, so no group of values meets in one task.
     """
-    counted = rows.groupBy(*keys, F.col(value).cast("long").alias("v"), censored.alias("cut")).agg(F.count(F.lit(1)).alias("n"))
+    counted = checkpointed(rows.groupBy(*keys, F.col(value).cast("long").alias("v"), censored.alias("cut")).agg(F.count(F.lit(1)).alias("n")))
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("cut"), F.col("n")).otherwise(0)).alias("n_censored"))
-    by_value = Window.partitionBy(*keys).orderBy("v", "cut").rowsBetween(Window.unboundedPreceding, 0)
-    known_first = Window.partitionBy(*keys).orderBy("cut", "v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"low_end": F.sum("n").over(by_value), "high_end": F.sum("n").over(known_first)}).join(totals, keys)
+    low_first = running_counts(counted, keys, ["v", "cut"], "low_end")
+    known_first = running_counts(counted, keys, ["cut", "v"], "high_end").drop("n")
+    ranked = low_first.join(known_first, [*keys, "v", "cut"]).join(totals, keys)
     at = lambda end, rank, v: F.min(F.when((F.col(end) >= rank) & (F.col(end) - F.col("n") < rank), v))
     upper = F.when(~F.col("cut"), F.col("v"))
     out = []

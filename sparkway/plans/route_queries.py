@@ -82,12 +82,33 @@ def fastest_times(spark, sf_dir):
     return roads.distances(V.edges(spark, sf_dir), _origins(spark))
 
 
-@query()
+# Walks along edges that attain the distances, and the first path of each node
+LEGS_SQL = """
+tight AS (
+  SELECT a.origin, e.source, e.target, e.time_s, e.length_m FROM edges_v e JOIN fwd a ON a.node = e.source JOIN fwd b ON b.origin = a.origin AND b.node = e.target WHERE a.dist + e.time_s = b.dist
+), ways AS (
+  SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, [CAST(node AS BIGINT)] AS path, CAST(0 AS BIGINT) AS time_s, CAST(0 AS BIGINT) AS length_m FROM fwd WHERE origin = node
+  UNION ALL
+  SELECT w.origin, t.target, list_append(w.path, CAST(t.target AS BIGINT)), w.time_s + t.time_s, w.length_m + t.length_m FROM ways w JOIN tight t ON t.origin = w.origin AND t.source = w.node WHERE t.target <> w.origin
+), legs AS (SELECT origin, node, path, time_s, length_m FROM (SELECT *, row_number() OVER (PARTITION BY origin, node ORDER BY path) AS place FROM ways) WHERE place = 1)"""
+
+
+@query("SELECT origin, node, time_s, length_m, array_to_string(path, '>') AS path FROM legs", V.EDGES_SQL, WALKS, LEGS_SQL)
 def selected_legs(spark, sf_dir):
     """Fastest legs with full tie keys and their paths."""
     return roads.selected_legs(V.edges(spark, sf_dir), _origins(spark)).withColumn("path", F.array_join("path", ">"))
 
 
+@query("SELECT origin, node, CASE WHEN node % 10 = 3 THEN 'time' WHEN node % 10 = 4 AND len(path) > 1 THEN 'edge' END AS fault FROM legs WHERE node % 10 = 3 OR (node % 10 = 4 AND len(path) > 1)", V.EDGES_SQL, WALKS, LEGS_SQL)
+def path_faults(spark, sf_dir):
+    """Paths replayed edge by edge; some have a wrong time planted, some a step that is no edge."""
+    legs = roads.selected_legs(V.edges(spark, sf_dir), _origins(spark))
+    planted = legs.withColumn("time_s", F.col("time_s") + F.when(F.col("node") % 10 == 3, 1).otherwise(0))
+    broken = F.concat(F.slice("path", 1, F.size("path") - 1), F.array(F.lit(-1).cast("long"), F.col("node")))
+    planted = planted.withColumn("path", F.when((F.col("node") % 10 == 4) & (F.size("path") > 1), broken).otherwise(F.col("path")))
+    return roads.path_faults(planted, V.edges(spark, sf_dir))
+
+
 @query("SELECT CAST(origin AS BIGINT) AS origin, CAST(destination AS BIGINT) AS destination, CAST(min(direct) AS BIGINT) AS direct, " + ", ".join(f"count(*) FILTER (through * 100 <= direct * {r}) AS r{r}" for r in RATIOS) + " FROM costs GROUP BY origin, destination", V.EDGES_SQL, WALKS, BACK, COSTS)
 def envelope_counts(spark, sf_dir):
     """Nodes inside nested detour envelopes."""
@@ -108,11 +129,20 @@ def detour_features(spark, sf_dir):
     return found.select("origin", "node", "through", (F.col("through") - F.col("direct")).alias("detour"), F.expr("CASE WHEN through > 0 THEN forward * 1000 div through END").alias("progress"))
 
 
-@query("SELECT origin, node, 'x' AS kind FROM (SELECT CAST(0 AS BIGINT) AS origin, CAST(0 AS BIGINT) AS node) WHERE false")
+LABELS_SQL = "labels AS (SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, CAST(dist + CASE WHEN node % 50 = 7 AND node <> origin THEN 1 ELSE 0 END AS BIGINT) AS dist FROM fwd WHERE NOT (node % 50 = 9 AND node <> origin))"
+
+
+@query(
+    """SELECT origin, target AS node, CASE WHEN e IS NULL THEN 'open' ELSE 'long' END AS kind FROM seen WHERE e IS NULL OR d + time_s < e
+       UNION ALL SELECT l.origin, l.node, 'loose' FROM labels l WHERE l.node <> l.origin AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.origin = l.origin AND s.target = l.node AND s.d + s.time_s = s.e)""",
+    V.EDGES_SQL, WALKS, LABELS_SQL, "seen AS (SELECT a.origin, e.target, a.dist AS d, e.time_s, b.dist AS e FROM labels a JOIN edges_v e ON e.source = a.node LEFT JOIN labels b ON b.origin = a.origin AND b.node = e.target)",
+)
 def certificate_violations(spark, sf_dir):
-    """Labels of all origins satisfy every edge inequality and are attained; no rows."""
+    """Edge inequalities over labels with faults planted in them: some a second too long, some missing."""
     edges = V.edges(spark, sf_dir)
-    return roads.certificate_violations(edges, roads.distances(edges, _origins(spark)))
+    labels = roads.distances(edges, _origins(spark)).where("NOT (node % 50 = 9 AND node <> origin)")
+    faulty = labels.withColumn("dist", F.col("dist") + F.when((F.col("node") % 50 == 7) & (F.col("node") != F.col("origin")), 1).otherwise(0))
+    return roads.certificate_violations(edges, faulty)
 
 
 @query("SELECT CAST(f.origin AS BIGINT) AS origin, count(*) AS n FROM fwd f JOIN (SELECT origin, node FROM rev GROUP BY origin, node) r ON r.origin = f.origin AND r.node = f.node GROUP BY f.origin", V.EDGES_SQL, WALKS, "rev AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 3)) s(origin, node) UNION SELECT r.origin, CAST(e.source AS INTEGER) FROM rev r JOIN edges_v e ON r.node = e.target)")
@@ -125,39 +155,56 @@ def strong_components(spark, sf_dir):
 
 # -- policies -----------------------------------------------------------------------------
 
-TAGS_SQL = """
-tags_v AS (
-  SELECT event_id AS way_id, k, CASE k % 8 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' WHEN 4 THEN 'tertiary' WHEN 5 THEN 'residential' WHEN 6 THEN 'footway' ELSE 'track' END AS road_class,
-         CASE k % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN '-1' WHEN 3 THEN '1' END AS oneway,
-         CASE k % 5 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN CAST(k AS VARCHAR) || ' mph' WHEN 2 THEN CAST(k AS VARCHAR) || ';50' WHEN 3 THEN 'none' END AS maxspeed,
-         CASE k % 6 WHEN 0 THEN 'private' WHEN 1 THEN 'yes' END AS motorcar, CASE k % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'destination' END AS access
-  FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
-
-
-def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways whose tags follow from the events' JSON."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("k") % n + 1).cast("int"))
-    ways = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("way_id"), k.alias("k"))
-    speed = F.when(F.col("k") % 5 == 0, F.col("k").cast("string")).when(F.col("k") % 5 == 1, F.concat(F.col("k").cast("string"), F.lit(" mph"))).when(F.col("k") % 5 == 2, F.concat(F.col("k").cast("string"), F.lit(";50"))).when(F.col("k") % 5 == 3, F.lit("none"))
-    return ways.select("*", pick(8, "motorway", "trunk", "primary", "secondary", "tertiary", "residential", "footway", "track").alias("road_class"), pick(7, "yes", "no", "-1", "1", None, None, None).alias("oneway"), speed.alias("maxspeed"), pick(6, "private", "yes", None, None, None, None).alias("motorcar"), pick(4, "no", "destination", None, None).alias("access"))
+# Fixed values of the synthetic way view: what every tag goes round through, by event_id.
+WAY_TAGS = {
+    "road_class": [*policy.CLASS_SPEED, *policy.EXCLUDED_CLASSES[:4]],
+    "maxspeed": ["50", "30 mph", "50;30", "50;none", "400;50", "walk", "SI:rural", " 70 KPH ", "none", None, "0", "120.5 km/h", "20;30 mph"],
+    "oneway": ["yes", "no", "-1", "1", None, None, "alternating"],
+    "oneway_motorcar": ["reverse", *[None] * 10],
+    "oneway_motor_vehicle": ["false", *[None] * 16],
+    "junction": ["roundabout", *[None] * 8],
+    "motorcar": ["private", "yes", *[None] * 11],
+    "motor_vehicle": ["official", *[None] * 22],
+    "vehicle": ["delivery", " ", *[None] * 17],
+    "access": ["destination", "permissive", " ", "customers", *[None] * 21],
+    "conditional_access": ["no @ (22:00-06:00)", *[None] * 28],
+    "conditional_oneway": ["yes @ (Mo-Fr)", *[None] * 30],
+    "maxspeed_forward": ["20", *[None] * 9],
+    "maxspeed_backward": [None, "25 mph", *[None] * 12],
+}
+_quoted = lambda v: "NULL" if v is None else f"'{v}'"
+WAYS_SQL = "ways_v AS (SELECT event_id AS way_id, " + ", ".join(f"trim([{', '.join(map(_quoted, v))}][event_id % {len(v)} + 1]) AS {c}" for c, v in WAY_TAGS.items()) + " FROM events)"
+
+
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways whose tags follow from event_id."""
+    pick = lambda v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (F.col("event_id") % len(v) + 1).cast("int"))
+    return V.table(spark, sf_dir, "events").select(F.col("event_id").alias("way_id"), *[pick(v).alias(c) for c, v in WAY_TAGS.items()])
+
+
+_SPEEDS = "CASE " + " ".join(f"WHEN road_class = '{c}' THEN {v}.0" for c, v in policy.CLASS_SPEED.items()) + " END"
+_NAMED = "CASE " + " ".join(f"WHEN tag = '{c}' THEN {v}.0" for c, v in policy.SYMBOLIC_SPEED.items()) + " END"
+_IN = lambda v: "(" + ", ".join(f"'{x}'" for x in v) + ")"
 
 
 @query(
-    """SELECT way_id, road_class, direction, CAST(round(speed * 1000) AS BIGINT) AS speed_m_h, CAST(round(1000 * 3.6 / speed * 1000) AS BIGINT) AS time_ms FROM (
-         SELECT way_id, road_class, unnest(CASE WHEN oneway IS NULL THEN CASE WHEN road_class = 'motorway' THEN [1] ELSE [1, -1] END WHEN oneway IN ('yes', 'true', '1') THEN [1] WHEN oneway IN ('-1', 'reverse') THEN [-1] ELSE [1, -1] END) AS direction,
-                greatest(5.0, least(130.0, least(CASE road_class WHEN 'motorway' THEN 110.0 WHEN 'trunk' THEN 90 WHEN 'primary' THEN 80 WHEN 'secondary' THEN 70 WHEN 'tertiary' THEN 60 ELSE 30 END, CAST(posted AS DOUBLE)))) AS speed
-         FROM (SELECT *, CASE WHEN k = 0 THEN CASE WHEN k % 5 = 2 THEN 50 END WHEN k % 5 = 0 THEN k WHEN k % 5 = 1 THEN k * 1.609344 WHEN k % 5 = 2 THEN least(k, 50) END AS posted FROM tags_v)
-         WHERE road_class NOT IN ('footway', 'track') AND coalesce(coalesce(motorcar, access) IN ('yes', 'permissive', 'designated', 'destination'), true))""",
-    TAGS_SQL,
+    f"""SELECT way_id, direction, excluded_reason, CAST(round(CASE WHEN direction <> 0 THEN greatest(1.0, least(140.0, {_SPEEDS}, posted)) END * 1000) AS BIGINT) AS speed_m_h, CAST(round(posted * 1000) AS BIGINT) AS posted_m_h
+        FROM (SELECT *, CASE WHEN direction = 0 OR tag IS NULL THEN NULL WHEN tag IN {_IN(policy.SYMBOLIC_SPEED)} THEN {_NAMED}
+                WHEN len(list_filter(string_split(tag, ';'), lambda p: NOT regexp_full_match(lower(trim(p)), '[0-9]+(\\.[0-9]+)?[ ]*(mph|km/h|kmh|kph)?'))) > 0 THEN NULL
+                WHEN len(list_filter(list_transform(string_split(tag, ';'), lambda p: CAST(regexp_extract(p, '[0-9]+(\\.[0-9]+)?') AS DOUBLE) * CASE WHEN lower(p) LIKE '%mph%' THEN 1.609344 ELSE 1 END), lambda v: v <= 0 OR v > 300)) > 0 THEN NULL
+                ELSE list_min(list_transform(string_split(tag, ';'), lambda p: CAST(regexp_extract(p, '[0-9]+(\\.[0-9]+)?') AS DOUBLE) * CASE WHEN lower(p) LIKE '%mph%' THEN 1.609344 ELSE 1 END)) END AS posted
+          FROM (SELECT *, coalesce(CASE WHEN direction = -1 THEN maxspeed_backward ELSE maxspeed_forward END, maxspeed) AS tag
+            FROM (SELECT *, unnest(CASE WHEN excluded_reason IS NOT NULL THEN [0] WHEN ow IN {_IN(policy.FORWARD)} THEN [1] WHEN ow IN {_IN(policy.BACKWARD)} THEN [-1] ELSE [1, -1] END) AS direction
+              FROM (SELECT *, CASE WHEN ow NOT IN {_IN((*policy.FORWARD, *policy.BACKWARD, *policy.BOTH))} THEN 'unsupported_oneway' WHEN road_class IN {_IN(policy.EXCLUDED_CLASSES)} THEN 'highway_class' WHEN conditional_oneway IS NOT NULL THEN 'conditional_oneway' WHEN conditional_access IS NOT NULL THEN 'conditional_access'
+                       WHEN coalesce(motorcar, motor_vehicle, nullif(vehicle, ''), nullif(access, '')) NOT IN {_IN(policy.ALLOWED_ACCESS)} THEN 'restricted_or_unknown_access' END AS excluded_reason
+                FROM (SELECT *, coalesce(oneway_motorcar, oneway_motor_vehicle, oneway, CASE WHEN junction = 'roundabout' OR road_class = 'motorway' THEN 'yes' ELSE 'no' END) AS ow FROM ways_v)))))""",
+    WAYS_SQL,
 )
 def road_admission(spark, sf_dir):
-    """admitted ways by direction, with effective speed and time for a kilometre."""
-    none = F.lit(None).cast("boolean")
-    ways = _tags(spark, sf_dir).where(policy.admitted(F.col("road_class")) & policy.access_allowed(F.col("motorcar"), F.col("access")))
-    speed = policy.effective_speed(F.col("road_class"), policy.posted_speed(F.col("maxspeed")))
-    dealt = ways.select("way_id", "road_class", F.explode(policy.directions(F.col("oneway"), none, F.col("road_class"))).alias("direction"), speed.alias("speed"))
-    return dealt.select("way_id", "road_class", "direction", F.round(F.col("speed") * 1000).cast("long").alias("speed_m_h"), F.round(policy.travel_time(F.lit(1000), F.col("speed")) * 1000).cast("long").alias("time_ms"))
+    """Every way by direction with posted and effective speed, or the reason why it is left out."""
+    found = policy.admitted_ways(_ways(spark, sf_dir))
+    milli = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return found.select("way_id", "direction", "excluded_reason", milli("speed").alias("speed_m_h"), milli("posted").alias("posted_m_h"))
 
 
 @query(
@@ -323,12 +370,13 @@ def receipt_pivot(spark, sf_dir):
     return _slots(spark, sf_dir).groupBy("method").pivot("status", statuses).count().na.fill(0)
 
 
-@query("SELECT a.query_id, a.status AS strong_status, b.status AS scale_status FROM receipts_v a JOIN receipts_v b USING (query_id) WHERE a.method = 'strong' AND b.method = 'scale' AND a.status <> b.status", V.RECEIPTS_SQL)
+@query("SELECT a.query_id, a.status AS strong_status, b.status AS scale_status FROM receipts_v a JOIN (SELECT query_id, method, CASE WHEN query_id % 97 = 5 THEN 'worker_error' ELSE status END AS status FROM receipts_v) b USING (query_id) WHERE a.method = 'strong' AND b.method = 'scale' AND a.status <> b.status", V.RECEIPTS_SQL)
 def method_disagreement(spark, sf_dir):
-    """V5: queries on which the methods' statuses differ (none on this view)."""
+    """V5: queries on which the methods' statuses differ; some are planted."""
     r = V.receipts(spark, sf_dir)
     by = lambda m: r.where(F.col("method") == m).select("query_id", F.col("status").alias(f"{m}_status"))
-    return by("strong").join(by("scale"), "query_id").where("strong_status <> scale_status")
+    scale = by("scale").withColumn("scale_status", F.when(F.col("query_id") % 97 == 5, "worker_error").otherwise(F.col("scale_status")))
+    return by("strong").join(scale, "query_id").where("strong_status <> scale_status")
 
 
 @query("SELECT g.query_id, g.method FROM grid_v g ANTI JOIN receipts_v r ON g.query_id = r.query_id AND g.method = r.method", V.RECEIPTS_SQL, V.GRID_SQL)
@@ -452,10 +500,11 @@ def trip_replay(spark, sf_dir):
     return ledger.replay(V.trips(spark, sf_dir))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS trip WHERE false")
+@query("SELECT trip FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY rn DESC) AS last FROM run) WHERE last = 1 AND energy + CASE WHEN trip % 10 = 3 THEN 1 ELSE 0 END <> 40 + charged - driven", V.TRIPS_SQL, LEDGER_SQL)
 def energy_violations(spark, sf_dir):
-    """Ledgers that do not balance; no rows."""
-    return ledger.energy_violations(ledger.replay(V.trips(spark, sf_dir))).select("trip")
+    """Ledgers that do not balance; a unit of energy is planted in every tenth."""
+    replayed = ledger.replay(V.trips(spark, sf_dir))
+    return ledger.energy_violations(replayed.withColumn("energy", F.col("energy") + F.when(F.col("trip") % 10 == 3, 1).otherwise(0))).select("trip")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

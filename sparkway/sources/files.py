@@ -46,9 +46,13 @@ def read_boundary(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
     text = lines.withColumn("line", F.trim("line")).where("line <> ''")
     sections = text.selectExpr("seq", "line", "sum(CASE WHEN line = 'END' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS ring")
-    coordinates = sections.where(r"line RLIKE '^[-+0-9.eE]+\\s+[-+0-9.eE]+$'")
     names = sections.where("line <> 'END' AND seq > 0").groupBy("ring").agg(F.min_by("line", "seq").startswith("!").alias("hole"))
     parts = F.split("line", r"\s+")
+    # the first line names the file and the first line of a section the ring; all others are two numbers
+    inside = sections.where("line <> 'END' AND seq > 0").join(sections.where("line <> 'END' AND seq > 0").groupBy("ring").agg(F.min("seq").alias("head")), "ring").where("seq > head")
+    number = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("double")
+    must_be_empty(inside.where((F.size(parts) != 2) | number(1).isNull() | number(2).isNull()), "coordinate lines hold two numbers")
+    coordinates = inside.drop("head")
     return coordinates.join(names, "ring").select("ring", "hole", "seq", parts[0].cast("double").alias("lon"), parts[1].cast("double").alias("lat"))
 
 
