@@ -69,9 +69,9 @@ def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) ->
     return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(total, F.lit(0))).alias("weighted_mean"))
 
 
-def with_group_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with the mean of their group; groups are aggregated before they meet their rows."""
-    return rows.join(rows.groupBy(*keys).agg(F.avg(value).alias("group_mean")), keys)
+def with_group_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the sum and number of values of their group (their mean is the quotient); groups are aggregated before they meet their rows."""
+    return rows.join(rows.groupBy(*keys).agg(F.sum(value).alias("group_sum"), F.count(value).alias("group_n")), keys)
 
 
 def censored_quantiles(rows: DataFrame, keys: list[str], value: str, censored: Column, per_mille: list[int]) -> DataFrame:

@@ -31,17 +31,19 @@ def loss_distribution(spark, sf_dir):
     return found.select("event_type", "evaluations", "finite_evaluations", "infinite_evaluations", "worst_is_infinite", *[F.round(c, 6).alias(c) for c in ("worst_finite", "q500", "q900", "q950")])
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS weighted_mean FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS weighted_mean FROM lineitem GROUP BY l_returnflag")
 def weighted_price(spark, sf_dir):
     """Weighted mean by group."""
-    return stats.weighted_mean(V.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").withColumn("weighted_mean", F.round("weighted_mean", 6))
+    lines = V.table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("n"))
+    return stats.weighted_mean(lines, ["l_returnflag"], "cents", "n")
 
 
-@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS over_mean FROM orders")
+@query("SELECT o_orderkey, CAST(cents * count(*) OVER (PARTITION BY o_custkey) - sum(cents) OVER (PARTITION BY o_custkey) AS BIGINT) AS over_mean_times_n FROM (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)")
 def price_over_mean(spark, sf_dir):
     """Group transform: the group's mean back on its rows."""
-    rows = stats.with_group_mean(V.table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice")
-    return rows.select("o_orderkey", F.round(F.col("o_totalprice") - F.col("group_mean"), 4).alias("over_mean"))
+    cents = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    rows = stats.with_group_sums(cents, ["o_custkey"], "cents")
+    return rows.select("o_orderkey", (F.col("cents") * F.col("group_n") - F.col("group_sum")).alias("over_mean_times_n"))
 
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL")
