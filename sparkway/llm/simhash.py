@@ -32,6 +32,7 @@ from .common import U64, checkpointed, documents, joined, mix64, window_hashes
 
 FANOUT = 8
 ROWS_AT_ONCE = 1024
+ROWS_A_PART = 25_000
 PAIRS_AT_ONCE = 1 << 17
 
 
@@ -270,13 +271,14 @@ def links(prints: DataFrame, *, max_distance: int = 3, group_limit: int = 20_000
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "space int, a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int = 1 << 30) -> DataFrame:
     """(node, root): root is the smallest node of each node's component; only nodes with an edge.
 
     Alternating large-star and small-star rounds; each round's edges are checkpointed,
-    and rounds end when the edges stay the same (then every edge joins a node to its root).
+    and rounds end when the edges stay the same (then every edge joins a node to its root).  ``parts``: partitions that
+    edges are held in at most between shuffles.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").coalesce(parts).distinct().coalesce(parts))
     before = None
     while True:
         count = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -286,13 +288,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b").coalesce(parts).distinct().coalesce(parts)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = checkpointed(
             large.join(small, "a")
             .select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))))
             .where("a <> b")
+            .coalesce(parts)
             .distinct()
+            .coalesce(parts)
         )
 
 
@@ -451,25 +455,25 @@ def signatures(source: DataFrame, shingle: int, least: float, spaces: int, frequ
     return source.mapInArrow(run, "doc_id long, text_key string, size int, n_rare int, fps array<long>, heads array<long>")
 
 
-def fingerprint_groups(texts: DataFrame, max_distance: int, group_limit: int) -> DataFrame:
+def fingerprint_groups(texts: DataFrame, max_distance: int, group_limit: int, parts: int) -> DataFrame:
     """(node, root): texts that hang together over close fingerprints of any space; only those that have a partner.
 
     texts: (node, fps).
     """
     placed = texts.select("node", F.posexplode("fps").alias("space", "fp"))
-    owners = checkpointed(placed.groupBy("space", "fp").agg(F.min("node").alias("owner")))
+    owners = checkpointed(placed.groupBy("space", "fp").agg(F.min("node").alias("owner")).coalesce(parts))
     found = links(owners, max_distance=max_distance, group_limit=group_limit)
     between = found.join(owners.select("space", F.col("fp").alias("a"), F.col("owner").alias("x")), ["space", "a"]).join(owners.select("space", F.col("fp").alias("b"), F.col("owner").alias("y")), ["space", "b"])
     equal = placed.join(owners, ["space", "fp"]).where("node <> owner").select(F.col("node").alias("a"), F.col("owner").alias("b"))
-    return with_roots(components(checkpointed(equal.unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b"))))))
+    return with_roots(components(checkpointed(equal.unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).coalesce(parts)), parts), parts)
 
 
-def with_roots(grouped: DataFrame) -> DataFrame:
+def with_roots(grouped: DataFrame, parts: int) -> DataFrame:
     """(node, root) with a row for every root too."""
-    return grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
+    return grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).coalesce(parts).distinct().coalesce(parts)
 
 
-def near_within(groups: DataFrame, read, least: float, together: int) -> DataFrame:
+def near_within(groups: DataFrame, read, least: float, together: int, parts: int) -> DataFrame:
     """(a, b): near pairs whose components are those of all near pairs among the texts that meet in one task.
 
     groups: (node, root).  Small groups share tasks of about ``together`` texts; a larger group is dealt over several.
@@ -480,7 +484,7 @@ def near_within(groups: DataFrame, read, least: float, together: int) -> DataFra
     tasks = max(1, -(-groups.count() // together))
     small = F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(tasks)))
     large = F.concat_ws("/", F.lit("l"), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / together)))
-    dealt = checkpointed(sized.select("node", F.when(F.col("n") > together, large).otherwise(small).alias("task")))
+    dealt = checkpointed(sized.select("node", F.when(F.col("n") > together, large).otherwise(small).alias("task")).coalesce(parts))
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         nodes, shingles = table.column("node").to_pylist(), table.column("shingles").combine_chunks()
@@ -510,7 +514,7 @@ def needed(size: str, other: str, least: float) -> Column:
     return F.ceil(F.lit(least / (1 + least)) * (F.col(size) + F.col(other)) - 1e-6)
 
 
-def near_across(shared: DataFrame, roots: DataFrame, read, least: float, few: int, share: int, rounds: int = 3) -> DataFrame:
+def near_across(shared: DataFrame, roots: DataFrame, read, least: float, few: int, share: int, parts: int, rounds: int = 3) -> DataFrame:
     """(a, b): near pairs that join the classes in ``roots`` (node, root) to those of all near pairs.
 
     Prefix filter: with all shingles in one order, two near texts share at their heads what both together need, less
@@ -529,14 +533,14 @@ def near_across(shared: DataFrame, roots: DataFrame, read, least: float, few: in
         firsts = by_class.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", "h", F.lit(turn)), "root", "x")).alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where((F.col("classes") > 1) & (F.col("n") > few))
         star = by_class.drop("n").join(firsts.select("h", F.col("first.root").alias("low"), F.col("first.x").alias("y")), "h").where("root <> low")
         star = star.where(F.least("x.size", "y.size") >= needed("x.size", "y.size", least))
-        tried = checkpointed(star.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
+        tried = checkpointed(star.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).coalesce(parts).distinct().coalesce(parts))
         if tried.isEmpty():
             break
-        more = checkpointed(near_pairs(tried, read, least))
+        more = checkpointed(near_pairs(tried, read, least).coalesce(parts))
         if more.isEmpty():
             break
         found = more if found is None else found.unionByName(more)
-        roots = moved_on(roots, more)
+        roots = moved_on(roots, more, parts)
 
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("h", F.ceil(F.col("n") / share).alias("shares"))
@@ -553,13 +557,13 @@ def near_across(shared: DataFrame, roots: DataFrame, read, least: float, few: in
     return last if found is None else found.unionByName(last)
 
 
-def moved_on(roots: DataFrame, edges: DataFrame) -> DataFrame:
+def moved_on(roots: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
     """(node, root) with the classes joined that ``edges`` (a, b) link."""
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     between = edges.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    to = with_roots(components(checkpointed(between)))
+    to = with_roots(components(checkpointed(between.coalesce(parts)), parts), parts)
     kept = roots.join(to.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return checkpointed(kept.unionByName(to).distinct())
+    return checkpointed(kept.unionByName(to).coalesce(parts).distinct().coalesce(parts))
 
 
 def near_pairs(pairs: DataFrame, read, least: float) -> DataFrame:
@@ -591,7 +595,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = checkpointed(signatures(source, shingle, min_similarity, spaces, frequent_shingles(source, shingle, sample, hot, most_hot)))
     counted = rows.groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = checkpointed(counted.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("n").alias("repeats")).withColumn("node", F.xxhash64("text_key")))
+    # tables of a row or a few for each text; coalescing only lowers their partitions, so small ones don't lie in many files
+    parts = max(1, -(-rows.count() // ROWS_A_PART))
+    named = checkpointed(counted.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("n").alias("repeats")).withColumn("node", F.xxhash64("text_key")).coalesce(parts))
     # one row of each text: those of texts that stand once, and the first of the others
     copied = joined(rows, named.where("n > 1").select("text_key", "id"), "text_key", "left")
     single = copied.where("id IS NULL OR id = doc_id").withColumn("node", F.xxhash64("text_key"))
@@ -601,21 +607,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = named.select("node", F.col("id").alias("doc_id"), "text_key")
 
     def read(nodes: DataFrame) -> DataFrame:
-        wanted = checkpointed(nodes.join(keyed, "node"))
+        wanted = checkpointed(nodes.join(keyed, "node").coalesce(parts))
         found = joined(source, wanted, ["doc_id", "text_key"], "inner").select(*nodes.columns, "text")
         found = found.mapInArrow(sets_of(shingle), ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", shingles array<long>")
         return found.dropDuplicates(["node"]) if repeated else found
 
     repeated = not named.where("repeats > 1").isEmpty()
-    within = checkpointed(near_within(checkpointed(fingerprint_groups(checkpointed(texts.select("node", "fps")), max_distance, group_limit)), read, min_similarity, together))
-    roots = with_roots(components(within))
-    across = near_across(checkpointed(shared_heads(texts)), checkpointed(roots), read, min_similarity, few, share)
-    classes = with_roots(components(checkpointed(within.unionByName(across))))
+    within = checkpointed(near_within(checkpointed(fingerprint_groups(checkpointed(texts.select("node", "fps")), max_distance, group_limit, parts)), read, min_similarity, together, parts).coalesce(parts))
+    roots = with_roots(components(within, parts), parts)
+    across = near_across(checkpointed(shared_heads(texts)), checkpointed(roots), read, min_similarity, few, share, parts)
+    classes = with_roots(components(checkpointed(within.unionByName(across).coalesce(parts)), parts), parts)
     members = keyed.join(classes, "node")
     kept = members.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
     # texts that others are equal or near to; all other rows stand for themselves
     moved = members.join(kept, "root").select("text_key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
-    moved = checkpointed(moved.unionByName(named.join(classes, "node", "left_anti").where("n > 1").select("text_key", F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"))))
+    moved = checkpointed(moved.unionByName(named.join(classes, "node", "left_anti").where("n > 1").select("text_key", F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"))).coalesce(parts))
     judged = joined(rows.select("doc_id", "text_key"), moved, "text_key", "left")
     stays = F.col("kept_id").isNull() | ((F.col("doc_id") == F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
     return judged.select("doc_id", "text_key", F.coalesce("kept_id", "doc_id").alias("kept_id"), stays.alias("stays"))
