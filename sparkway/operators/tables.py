@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir (a temporary folder only where none is set), lineage cut."""
+    """``df`` written to spark.checkpoint.dir, lineage cut; a temporary folder where none is set and all runs in one process."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkway-checkpoint-"))
     return df.checkpoint(eager=True)
 
