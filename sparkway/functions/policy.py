@@ -107,3 +107,50 @@ def actions(capabilities: Column) -> Column:
 def necessary_charges(distance_m: Column, consumption: Column, reserve: Column, initial: Column, usable: Column) -> Column:
     """How often a trip must charge at least: max(0, ceil((c d + reserve - initial) / usable))."""
     return F.greatest(F.lit(0).cast("long"), F.ceil((consumption * distance_m + reserve - initial) / usable).cast("long"))
+
+
+# Prefixes that say a charger is no longer or not yet there.
+LIFECYCLE = ("disused", "abandoned", "demolished", "removed", "proposed", "construction")
+
+
+def charging_evidence(tags: Column) -> Column:
+    """struct(signal, station, point, lifecycle, reasons, eligible) of a map of tags; reasons are gathered, none is needed to be eligible."""
+    at = lambda key: F.try_element_at(tags, F.lit(key))
+    is_ = lambda key, *values: F.coalesce(at(key).isin(*values), F.lit(False))
+    listed = lambda *found: F.filter(F.array(*found), lambda x: x.isNotNull())
+    station, point = is_("amenity", "charging_station"), is_("man_made", "charge_point")
+    gone = lambda p: is_(f"{p}:amenity", "charging_station") | is_(f"{p}:man_made", "charge_point") | ((station | point) & is_(p, "yes"))
+    lifecycle = listed(*[F.when(gone(p), p) for p in LIFECYCLE])
+    reasons = listed(
+        F.when(~station, "not_a_station_tag"),
+        F.when(F.size(lifecycle) > 0, "explicit_lifecycle_exclusion"),
+        F.when(is_("access", "private", "no"), "explicit_access_exclusion"),
+        F.when(is_("motorcar", "no") | is_("motor_vehicle", "no") | is_("vehicle", "no"), "explicit_vehicle_exclusion"),
+        F.when(F.coalesce(at("access:conditional"), F.lit("")) != "", "conditional_access_not_modeled"),
+        F.when(is_("charging_station:battery_swapping", "only"), "battery_swapping_only_not_charging"),
+        F.when(is_("capacity", "0"), "explicit_zero_vehicle_capacity"),
+    )
+    signal = station | point | (F.size(lifecycle) > 0) | is_("charging", "yes")
+    return F.struct(signal.alias("signal"), station.alias("station"), point.alias("point"), lifecycle.alias("lifecycle"), reasons.alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
+
+
+def next_actions(actions: DataFrame, scheduled: Column, pending: Column) -> DataFrame:
+    """Actions that are legal next: effects with service (S, CS) only where a schedule exists and is pending."""
+    return actions.where((F.col("effect") == "C") | (F.coalesce(scheduled, F.lit(False)) & F.coalesce(pending, F.lit(False))))
+
+
+def chosen_activity(timed: DataFrame, group: str, site: str, *, start: int, overhead: int, penalty: int, opens: int, closes: int, duration: int) -> DataFrame:
+    """(group, site) whose activity lets the trip end first, ties to the smaller site; times there and onward, null if unreachable.
+
+    Sites reached after closes - overhead are left out; a group without a site has no row.
+    """
+    in_time = timed.where(F.col("there").isNotNull() & F.col("onward").isNotNull() & (F.lit(start) + F.col("there") <= closes - overhead))
+    ends = F.greatest(F.lit(opens + duration), F.lit(start + overhead + duration) + F.col("there")) + F.col("onward") + penalty
+    return in_time.groupBy(group).agg(F.min(F.struct(ends.alias("ends"), F.col(site))).alias("m")).select(group, F.col(f"m.{site}").alias("chosen"))
+
+
+def activity_masks(actions: DataFrame, chosen: DataFrame, group: str, site: str) -> DataFrame:
+    """actions with 'separated' (no CS) and 'activity_first' (C anywhere, service at the chosen site alone)."""
+    held = actions.join(chosen, group, "left")
+    first = F.coalesce((F.col("effect") == "C") | (F.col(site) == F.col("chosen")), F.lit(False))
+    return held.withColumns({"separated": F.col("effect") != "CS", "activity_first": first}).drop("chosen")

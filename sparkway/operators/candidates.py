@@ -95,3 +95,31 @@ def regret(flat: DataFrame, chosen: DataFrame, utilities: DataFrame, group: str,
 
     joined = least(flat, "best").join(least(chosen, "best_chosen"), [group, "utility"], "left")
     return joined.withColumn("regret", F.col("best_chosen") - F.col("best"))
+
+
+def relative_regret(flat: DataFrame, chosen: DataFrame, weights: list[tuple], group: str, objectives: list[str], scales: tuple, eta: float) -> DataFrame:
+    """(group, utility, best, regret, relative) over objectives divided by their scales and weights that sum to one.
+
+    relative = regret / (|best| + eta).  A group without flat plans has no row; without chosen plans both are infinite.
+    """
+    if eta <= 0 or any(s <= 0 for s in scales) or any(x <= 0 for w in weights for x in w):
+        raise ValueError("scales, weights and eta must be positive")
+    scores = [sum(F.col(c) / float(s) * x / sum(w) for c, s, x in zip(objectives, scales, w, strict=True)) for w in weights]
+
+    def least(plans: DataFrame, name: str) -> DataFrame:
+        best = plans.groupBy(group).agg(*[F.min(score).alias(f"u{k}") for k, score in enumerate(scores)])
+        return best.select(group, F.posexplode(F.array(*[f"u{k}" for k in range(len(scores))])).alias("utility", name))
+
+    joined = least(flat, "best").join(least(chosen, "kept"), [group, "utility"], "left")
+    lost = F.when(F.col("kept").isNull(), float("inf")).otherwise(F.greatest(F.lit(0.0), F.col("kept") - F.col("best")))
+    return joined.select(group, "utility", "best", lost.alias("regret"), (lost / (F.abs("best") + eta)).alias("relative"))
+
+
+def cover_faults(covered: DataFrame, group: str, objectives: list[str], tolerance: tuple) -> DataFrame:
+    """Plans of a cover whose chosen plan exceeds them by more than the tolerance somewhere, or is missing."""
+    chosen = covered.where("rank = covered_by").select(group, F.col("rank").alias("covered_by"), *[F.col(c).alias(f"_{c}") for c in objectives])
+    held = covered.join(chosen, [group, "covered_by"], "left")
+    within = F.lit(True)
+    for c, t in zip(objectives, tolerance, strict=True):
+        within = within & (F.col(f"_{c}") <= F.col(c) + t)
+    return held.where(~F.coalesce(within, F.lit(False))).select(group, "rank", "covered_by")

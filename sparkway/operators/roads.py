@@ -1,32 +1,66 @@
 """Distances, detour envelopes, components and certificates on directed road graphs.
 
-Each relaxation round joins the labels that improved with the edges and keeps the smallest per node;
-rounds end when no label improves.  Labels are checkpointed, so lineage stays short and lost
-executors cost one round.
+A relaxation round joins the labels that the last round improved (the front) with the edges.  Candidates are
+held against the labels they meet; labels stay where they lie while the candidates are few by a proven bound.
+Fronts are checkpointed, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import checkpointed
 
+#: Tables of at most so many rows are sent to every task.
+MOST_SENT = 200_000
+#: Fronts that are kept apart until labels are merged.
+MOST_FRONTS = 12
+
+
+def _most_of(arcs: DataFrame, key: str) -> int:
+    """The largest number of rows of one key."""
+    return arcs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-def distances(edges: DataFrame, sources: DataFrame, weight: str = "time_s") -> DataFrame:
-    """(origin, node, dist): smallest sum of ``weight`` from each origin to each node it reaches.
+
+def _relaxed(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, degree: int) -> DataFrame:
+    """The smallest ``value`` of each key that repeated steps give.
+
+    ``step`` takes labels (keys, value) to those one hop on and makes at most ``degree`` of one.  Only fronts are stepped.
+    """
+    smallest = lambda rows: rows.groupBy(*keys).agg(F.min(value).alias(value))
+    front = checkpointed(smallest(start))
+    parts = [front]
+    while (n := front.count()) > 0:
+        moved = smallest(step(F.broadcast(front) if n <= MOST_SENT else front))
+        known = reduce(DataFrame.unionByName, parts)
+        if n * degree <= MOST_SENT:
+            known = known.join(F.broadcast(moved.select(*keys)), keys, "left_semi")
+        held = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_held"))
+        as_good = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_held") <= F.col(value)]
+        front = checkpointed(moved.join(held, as_good, "left_anti"))
+        parts.append(front)
+        if len(parts) > MOST_FRONTS:
+            parts = [checkpointed(smallest(reduce(DataFrame.unionByName, parts)))]
+    return checkpointed(smallest(reduce(DataFrame.unionByName, parts)))
+
+
+def distances(edges: DataFrame, sources: DataFrame, weight: str = "time_s", limit: int | None = None) -> DataFrame:
+    """(origin, node, dist): smallest sum of ``weight`` from each origin to each node it reaches, up to ``limit``.
 
     ``edges`` has source, target and a positive weight; ``sources`` has origin.
     """
-    hop = edges.groupBy("source", "target").agg(F.min(weight).alias("w"))
-    labels = checkpointed(sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("dist")).distinct())
-    front = labels
-    while True:
-        step = front.join(hop, front["node"] == hop["source"]).groupBy("origin", F.col("target").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("next"))
-        joined = checkpointed(labels.join(step, ["origin", "node"], "full_outer").select("origin", "node", F.least("dist", "next").alias("dist"), (F.col("next").isNotNull() & (F.col("dist").isNull() | (F.col("next") < F.col("dist")))).alias("better")))
-        labels, front = joined.drop("better"), joined.where("better").drop("better")
-        if front.isEmpty():
-            return labels
+    hop = checkpointed(edges.groupBy("source", "target").agg(F.min(weight).alias("w")))
+
+    def step(front: DataFrame) -> DataFrame:
+        on = front.join(hop, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+        return on if limit is None else on.where(F.col("dist") <= limit)
+
+    start = sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return _relaxed(start, step, ["origin", "node"], "dist", _most_of(hop, "source"))
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -39,17 +73,15 @@ def selected_legs(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
     Length is an attribute of the leg, never its metric.  ``edges`` has one edge for each (source, target).
     """
-    label = F.struct("time_s", "path", "length_m")
-    start = sources.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0).cast("long").alias("time_s"), F.array("origin").alias("path"), F.lit(0).cast("long").alias("length_m")).alias("best")).distinct()
-    labels = checkpointed(start)
-    front = labels
-    while True:
-        moved = front.join(edges, front["node"] == edges["source"]).select("origin", F.col("target").alias("node"), (F.col("best.time_s") + F.col("time_s")).alias("time_s"), F.concat("best.path", F.array("target")).alias("path"), (F.col("best.length_m") + F.col("length_m")).alias("length_m"))
-        step = moved.groupBy("origin", "node").agg(F.min(label).alias("next"))
-        joined = checkpointed(labels.join(step, ["origin", "node"], "full_outer").select("origin", "node", F.least("best", "next").alias("best"), (F.col("next").isNotNull() & (F.col("best").isNull() | (F.col("next") < F.col("best")))).alias("better")))
-        labels, front = joined.drop("better"), joined.where("better").drop("better")
-        if front.isEmpty():
-            return labels.select("origin", "node", "best.time_s", "best.length_m", "best.path")
+    arcs = checkpointed(edges.select("source", "target", "time_s", "length_m"))
+
+    def step(front: DataFrame) -> DataFrame:
+        label = F.struct((F.col("best.time_s") + F.col("time_s")).alias("time_s"), F.concat("best.path", F.array("target")).alias("path"), (F.col("best.length_m") + F.col("length_m")).alias("length_m"))
+        return front.join(arcs, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node"), label.alias("best"))
+
+    start = sources.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0).cast("long").alias("time_s"), F.array("origin").alias("path"), F.lit(0).cast("long").alias("length_m")).alias("best"))
+    labels = _relaxed(start, step, ["origin", "node"], "best", _most_of(arcs, "source"))
+    return labels.select("origin", "node", "best.time_s", "best.length_m", "best.path")
 
 
 def path_faults(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -112,6 +144,76 @@ def strong_component(edges: DataFrame, root: DataFrame) -> DataFrame:
     return there.join(back, ["origin", "node"])
 
 
+def strong_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of each node's strong component, of all nodes.
+
+    Every node takes the smallest id that reaches it as its colour; what reaches a colour's root inside the colour is
+    a component and goes, and the rest is coloured anew.  Nodes without an edge in or without one out go first.
+    """
+    left = checkpointed(nodes.select("id").distinct())
+    arcs = checkpointed(edges.where("source <> target").select("source", "target").distinct())
+    done = []
+    while not left.isEmpty():
+        ends = arcs.select(F.col("source").alias("id")).distinct().join(arcs.select(F.col("target").alias("id")).distinct(), "id", "left_semi")
+        inner = checkpointed(left.join(ends, "id", "left_semi"))
+        done.append(left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+        arcs = _between(arcs, inner)
+        colours = _relaxed(inner.select(F.col("id").alias("node"), F.col("id").alias("colour")), _along(arcs, "source", "target"), ["node"], "colour", _most_of(arcs, "source"))
+        tail = colours.select(F.col("node").alias("source"), "colour")
+        head = colours.select(F.col("node").alias("target"), "colour")
+        same = checkpointed(arcs.join(tail, "source").join(head, ["target", "colour"]).select("source", "target"))
+        found = _relaxed(colours.where("node = colour"), _along(same, "target", "source"), ["node"], "colour", _most_of(same, "target"))
+        done.append(found.select(F.col("node").alias("id"), F.col("colour").alias("component")))
+        left = checkpointed(inner.join(done[-1], "id", "left_anti"))
+        arcs = _between(arcs, left)
+    return reduce(DataFrame.unionByName, done) if done else left.select("id", F.col("id").alias("component"))
+
+
+def _along(arcs: DataFrame, tail: str, head: str) -> Callable[[DataFrame], DataFrame]:
+    """A step that hands colours from the tail of each arc to its head."""
+    return lambda front: front.join(arcs, F.col("node") == F.col(tail)).select(F.col(head).alias("node"), "colour")
+
+
+def _between(arcs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Arcs with both ends among the ids."""
+    kept = arcs.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    return checkpointed(kept.select("source", "target"))
+
+
+def road_distance_of_pairs(edges: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """(a, b, there, back, far) of node pairs: distances both ways within the limit, else null; far is the larger, infinite without one of them."""
+    ends = pairs.select(F.col("a").alias("origin")).unionByName(pairs.select(F.col("b").alias("origin"))).distinct()
+    known = distances(edges, ends, limit=limit)
+    there = known.select(F.col("origin").alias("a"), F.col("node").alias("b"), F.col("dist").alias("there"))
+    back = known.select(F.col("origin").alias("b"), F.col("node").alias("a"), F.col("dist").alias("back"))
+    far = F.when(F.col("there").isNull() | F.col("back").isNull(), float("inf")).otherwise(F.greatest("there", "back").cast("double"))
+    return pairs.join(there, ["a", "b"], "left").join(back, ["a", "b"], "left").select("a", "b", "there", "back", far.alias("far"))
+
+
+def legs_of_sites(legs: DataFrame, aliases: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked.*, time_s, length_m, reachable): legs (source, target) between the road anchors (site, anchor) of from_site and to_site.
+
+    A pair without a leg stays unreachable: legs are never put together.  A site without an anchor is unreachable too.
+    """
+    start = aliases.select(F.col("site").alias("from_site"), F.col("anchor").alias("source"))
+    end = aliases.select(F.col("site").alias("to_site"), F.col("anchor").alias("target"))
+    found = asked.join(start, "from_site", "left").join(end, "to_site", "left").join(legs.select("source", "target", "time_s", "length_m"), ["source", "target"], "left")
+    return found.select(*asked.columns, "time_s", "length_m", F.col("time_s").isNotNull().alias("reachable"))
+
+
+def envelope_faults(inside: DataFrame, paths: DataFrame, ratios: list[int]) -> DataFrame:
+    """(origin, ratio, node, fault) of node envelopes (origin, ratio, node) that can't be right.
+
+    fault: 'nesting' (a node of a ratio is missing in the next larger one), 'baseline' (a node of the fastest path
+    (origin, path) is missing).
+    """
+    wider = {r: w for r, w in zip(ratios, ratios[1:], strict=False)}
+    next_of = F.coalesce(*[F.when(F.col("ratio") == r, F.lit(w)) for r, w in wider.items()], F.lit(None).cast("int"))
+    asked = inside.select("origin", next_of.cast("int").alias("ratio"), "node").where("ratio IS NOT NULL").withColumn("fault", F.lit("nesting"))
+    on_path = paths.select("origin", F.explode(F.array(*[F.lit(r).cast("int") for r in ratios])).alias("ratio"), "path").select("origin", "ratio", F.explode("path").alias("node"), F.lit("baseline").alias("fault"))
+    return asked.unionByName(on_path).join(inside, ["origin", "ratio", "node"], "left_anti").select("origin", "ratio", "node", "fault")
+
+
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected pairs (a, b).
 

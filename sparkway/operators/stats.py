@@ -112,3 +112,18 @@ def agreement(labels: DataFrame) -> DataFrame:
     expected = F.col("left_pairs") * F.col("right_pairs") / every
     index = (F.col("both_pairs") - expected) / ((F.col("left_pairs") + F.col("right_pairs")) / 2 - expected)
     return row.select("rows", "both_pairs", "left_pairs", "right_pairs", F.round(index, 9).alias("adjusted_rand"))
+
+
+def claim_faults(claims: DataFrame, keys: list[str], complete: tuple[str, ...] = ("attained_optimum", "infeasible")) -> DataFrame:
+    """(keys, fault) of receipts (status, key, feasible_key, replayed) that claim what they can't; the first that applies.
+
+    fault: 'claim' (not complete, but a key), 'replay' (a key without an independent replay), 'key' (an optimum without
+    its key, or with another one than the feasible key).
+    """
+    claimed = F.col("key").isNotNull()
+    fault = (
+        F.when(~F.col("status").isin(*complete) & claimed, "claim")
+        .when((claimed | F.col("feasible_key").isNotNull()) & ~F.coalesce("replayed", F.lit(False)), "replay")
+        .when((F.col("status") == "attained_optimum") & (~claimed | ~F.col("key").eqNullSafe(F.col("feasible_key"))), "key")
+    )
+    return claims.select(*keys, fault.alias("fault")).where("fault IS NOT NULL")

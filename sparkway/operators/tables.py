@@ -68,3 +68,9 @@ def dense_ids(keys: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     base = F.coalesce(*[F.when(F.col("_part") == p, F.lit(s)) for p, s in starts.items()], F.lit(0)).cast("long")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     return dealt.select(key, (base + inside).cast("long").alias("id"))
+
+
+def identity_faults(given: DataFrame, key: str = "key", id_col: str = "id") -> DataFrame:
+    """(key, id, place) of keys whose id isn't their 0-based place in sorted order; null ids count."""
+    places = dense_ids(given, key).withColumnRenamed("id", "place")
+    return given.join(places, key).where(~F.col(id_col).eqNullSafe(F.col("place"))).select(key, id_col, "place")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = 200
+# The road graph grows with the table: LINES_A_NODE lines a node, at least LEAST_NODES.
+LEAST_NODES, LINES_A_NODE = 200, 300
+NODES = f"(SELECT greatest({LEAST_NODES}, count(*) // {LINES_A_NODE}) FROM lineitem)"
 
 # Part types and what a site of that type offers (C charging, S service).
 CAPABILITIES = {"ECONOMY": ("C",), "LARGE": ("C", "S"), "MEDIUM": ("S",), "SMALL": ("S",), "STANDARD": ("C", "S")}
@@ -19,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> int:
+    """The number of road nodes."""
+    return max(LEAST_NODES, table(spark, sf_dir, "lineitem").count() // LINES_A_NODE)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, time_s, length_m): of parallel edges the fastest, then the shortest."""
+    n = nodes(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") % NODES).alias("source"),
-        ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % NODES).alias("target"),
+        (F.col("l_partkey") % n).alias("source"),
+        ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % n).alias("target"),
         F.col("l_quantity").cast("long").alias("time_s"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("length_m"),
     )
@@ -41,7 +49,7 @@ edges_v AS (
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, anchor, kind): stop sites and the road node they are tied to."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site_id"), (F.col("p_partkey") % NODES).alias("anchor"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site_id"), (F.col("p_partkey") % nodes(spark, sf_dir)).alias("anchor"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size"))
 
 
 SITES_SQL = f"sites_v AS (SELECT p_partkey AS site_id, p_partkey % {NODES} AS anchor, p_type AS kind, CAST(p_size AS BIGINT) AS size FROM part)"
