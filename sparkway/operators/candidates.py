@@ -28,13 +28,14 @@ def _undominated(values: np.ndarray) -> np.ndarray:
     """Rows that no other row beats (all at most as large, one smaller); equal rows all stay."""
     order = np.lexsort(values.T[::-1])
     kept: list[int] = []
-    front = np.zeros((0, values.shape[1]), values.dtype)
+    front = np.empty_like(values)
     for i in order.tolist():  # in lexicographic order only earlier rows can dominate
         v = values[i]
-        if len(front) and np.any(np.all(front <= v, axis=1) & np.any(front < v, axis=1)):
+        held = front[: len(kept)]
+        if np.any(np.all(held <= v, axis=1) & np.any(held < v, axis=1)):
             continue
+        front[len(kept)] = v
         kept.append(i)
-        front = np.concatenate((front, v[None]))
     return np.sort(np.array(kept, int))
 
 
@@ -55,12 +56,14 @@ def skyline(plans: DataFrame, group: str, objectives: list[str], parts: int = 8)
     return local.groupBy(group).applyInArrow(reduce, schema)
 
 
-def cover(plans: DataFrame, group: str, objectives: list[str], tolerance: int) -> DataFrame:
+def cover(plans: DataFrame, group: str, objectives: list[str], tolerance: tuple) -> DataFrame:
     """A greedy cover of each group's skyline: plans and ``covered_by``, the rank of the chosen plan within tolerance.
 
-    In lexicographic order a plan is covered by the first chosen plan that exceeds it nowhere by more than the
-    tolerance (percent); if there is none it is chosen.  The greedy order is sequential inside a group.
+    In lexicographic order a plan is covered by the first chosen plan that exceeds it in no objective by more than that
+    objective's tolerance; if there is none it is chosen.  The greedy order is sequential inside a group.
     """
+    if len(tolerance) != len(objectives) or any(t < 0 for t in tolerance):
+        raise ValueError("every objective takes a tolerance that isn't negative")
     base = plans.select(group, *objectives)
     schema = T.StructType([*base.schema.fields, T.StructField("rank", T.LongType()), T.StructField("covered_by", T.LongType())])
 
@@ -69,12 +72,14 @@ def cover(plans: DataFrame, group: str, objectives: list[str], tolerance: int) -
         order = np.lexsort(values.T[::-1])
         values = values[order]
         chosen: list[int] = []
+        fronts = np.empty_like(values)
         by = []
         for i, v in enumerate(values):
-            fits = np.all(values[chosen] * 100 <= v * (100 + tolerance), axis=1) if chosen else np.zeros(0, bool)
-            if not fits.any():
+            fits = np.flatnonzero(np.all(fronts[: len(chosen)] <= v + np.array(tolerance), axis=1))
+            if not len(fits):
+                fronts[len(chosen)] = v
                 chosen.append(i)
-            by.append(chosen[int(np.argmax(fits))] if fits.any() else i)
+            by.append(chosen[fits[0]] if len(fits) else i)
         out = table.take(pa.array(order)).select([group, *objectives])
         return out.append_column("rank", pa.array(range(len(by)), pa.int64())).append_column("covered_by", pa.array(by, pa.int64()))
 

@@ -466,10 +466,13 @@ def plan_skyline(spark, sf_dir):
     return candidates.skyline(V.plans(spark, sf_dir), "task", OBJECTIVES)
 
 
+COVER_TOLERANCE = (5, 50, 2, 1)
+
+
 @query()
 def plan_cover(spark, sf_dir):
-    """Greedy cover of every skyline within ten percent."""
-    return candidates.cover(candidates.skyline(V.plans(spark, sf_dir), "task", OBJECTIVES), "task", OBJECTIVES, 10)
+    """Greedy cover of every skyline, with a tolerance for each objective."""
+    return candidates.cover(candidates.skyline(V.plans(spark, sf_dir), "task", OBJECTIVES), "task", OBJECTIVES, COVER_TOLERANCE)
 
 
 @query("SELECT f.task, f.u AS utility, f.best, c.best AS best_chosen, c.best - f.best AS regret FROM f LEFT JOIN c USING (task, u)", V.PLANS_SQL, "us AS (SELECT * FROM (VALUES (0, 1, 1, 1, 1), (1, 50, 1, 1, 1), (2, 1, 1, 10, 20)) t(u, wa, wb, wc, wd))", "f AS (SELECT task, u, min(a * wa + b * wb + c * wc + d * wd) AS best FROM plans_v, us GROUP BY task, u)", "c AS (SELECT task, u, min(a * wa + b * wb + c * wc + d * wd) AS best FROM plans_v, us WHERE a <= 10 GROUP BY task, u)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,39 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
     edges.select("source", "target", "edge_id", "time_s", "length_m").write.option("sep", "\t").mode("errorifexists").csv(path)
 
 
+STRICT = {"mode": "FAILFAST", "allowNonNumericNumbers": "false"}
+
+
+def _closed(texts: DataFrame, names: list[str]) -> None:
+    """Refuses JSON objects (value) with a key twice or one that isn't named."""
+    keys = texts.select(F.json_object_keys("value").alias("k"))
+    must_be_empty(keys.where(F.size("k") != F.size(F.array_distinct("k"))), "a key stands twice")
+    must_be_empty(keys.select(F.explode("k").alias("k")).distinct().where(~F.col("k").isin(*names)), "fields outside the schema")
+
+
 def read_strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines under a closed schema: malformed rows and fields that the schema lacks are errors."""
-    rows = spark.read.option("mode", "FAILFAST").schema(schema).json(path)
-    names = set(rows.columns)
-    keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
-    must_be_empty(keys.where(~F.col("k").isin(*names)), "fields outside the schema")
+    """JSON lines under a closed schema: malformed rows, NaN, keys that stand twice and fields that the schema lacks are errors."""
+    rows = spark.read.options(**STRICT).schema(schema).json(path)
+    _closed(spark.read.text(path), rows.columns)
+    return rows
+
+
+def read_pretty_array(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Objects of the one array ``key`` of an indented JSON file, under a closed schema; any other layout is an error.
+
+    The file is cut where an object opens, so that tasks read it in pieces and hold one object at a time.  The array
+    holds at least one object.
+    """
+    pieces = spark.read.option("lineSep", "\n    {\n").text(path)
+    head = F.col("value").rlike(r'(?s)^\{\n  "' + re.escape(key) + r'": \[$')
+    inner, last = r"(?s)^((?:      [^\n]*\n)+)    \},$", r"(?s)^((?:      [^\n]*\n)+)    \}\n  \]\n\}\s*$"
+    body = F.coalesce(*[F.nullif(F.regexp_extract("value", p, 1), F.lit("")) for p in (inner, last)])
+    seen = pieces.agg(F.count_if(head).alias("heads"), F.count_if(F.col("value").rlike(last)).alias("lasts"), F.count_if(~head & body.isNull()).alias("others")).first()
+    if tuple(seen) != (1, 1, 0):
+        raise ValueError(f"not one indented array {key!r}: {seen}")
+    texts = pieces.where(~head).select(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    rows = texts.select(F.from_json("value", schema, STRICT).alias("r")).select("r.*")
+    _closed(texts, rows.columns)
     return rows
 
 
