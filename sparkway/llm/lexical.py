@@ -127,7 +127,8 @@ class ImpactBlock:
         order = np.argsort(terms, kind="stable")
         terms, self.at, self.impacts = terms[order], at[order], impacts[order]
         found, starts = np.unique(terms, return_index=True)
-        self.spans = {t: (a, b) for t, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(terms)], strict=True)}
+        ends = np.append(starts[1:], len(terms))[: len(found)]
+        self.spans = {t: (a, b) for t, a, b in zip(found.tolist(), starts.tolist(), ends.tolist(), strict=True)}
 
     def slices(self, term: int, bits: int) -> np.ndarray:
         a, b = self.spans[term]
