@@ -1,8 +1,8 @@
 """Distances, detour envelopes, components and certificates on directed road graphs.
 
-A relaxation round joins the labels that the last round improved (the front) with the edges.  Candidates are
-held against the labels they meet; labels stay where they lie while the candidates are few by a proven bound.
-Fronts are checkpointed, so lineage stays short and a lost executor costs one round.
+Distances spread block by block (``spread``).  Legs with paths are relaxed an edge a round: the labels that the last round
+improved (the front) meet the edges, candidates are held against the labels they meet, and labels stay where they lie while the candidates are
+few by a proven bound.  Fronts are checkpointed, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -10,15 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import checkpointed
+from .tables import checkpointed, dense_ids
 
 #: Tables of at most so many rows are sent to every task.
 MOST_SENT = 200_000
 #: Fronts that are kept apart until labels are merged.
 MOST_FRONTS = 12
+#: Edges of one block, and origins that a task works on at once.
+BLOCK_EDGES, ORIGINS = 100_000, 16
+#: Above every label.
+UNREACHED = 1 << 62
 
 
 def _most_of(arcs: DataFrame, key: str) -> int:
@@ -48,19 +54,91 @@ def _relaxed(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
     return checkpointed(smallest(reduce(DataFrame.unionByName, parts)))
 
 
+def _settle(heads: np.ndarray, weights: np.ndarray, starts: np.ndarray, labels: np.ndarray, front: np.ndarray, limit: int) -> None:
+    """Lowers ``labels`` [origin, node] along the edges of a block until nothing changes; ``front`` are the places that are new.
+
+    Edges of node u are at starts[u] to starts[u + 1].
+    """
+    nodes = labels.shape[1]
+    flat = labels.reshape(-1)
+    while len(front):
+        origin, node = np.divmod(front, nodes)
+        degree = starts[node + 1] - starts[node]
+        edge = np.repeat(starts[node] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+        value = np.repeat(flat[front], degree) + weights[edge]
+        place = np.repeat(origin * nodes, degree) + heads[edge]
+        better = (value < flat[place]) & (value <= limit)
+        place, value = place[better], value[better]
+        np.minimum.at(flat, place, value)
+        front = np.unique(place)
+
+
+def _block_step(limit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A task's work: labels of one block and some origins, spread over the block's edges; gives the labels that became smaller."""
+
+    def step(arcs: pa.Table, labels: pa.Table) -> pa.Table:
+        column = lambda table, name: table.column(name).to_numpy()
+        if not arcs.num_rows or not labels.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("origin", "node", "dist", "by")})
+        nodes, ends = np.unique(np.concatenate((column(arcs, "source"), column(arcs, "target"))), return_inverse=True)
+        tails, heads = ends[: arcs.num_rows], ends[arcs.num_rows :]
+        order = np.argsort(tails, kind="stable")
+        origins, origin = np.unique(column(labels, "origin"), return_inverse=True)
+        place = origin * len(nodes) + np.searchsorted(nodes, column(labels, "node"))
+        state = np.full((len(origins), len(nodes)), UNREACHED)
+        np.minimum.at(state.reshape(-1), place, column(labels, "dist"))
+        before = state.copy()
+        _settle(heads[order], column(arcs, "w")[order], np.searchsorted(tails[order], np.arange(len(nodes) + 1)), state, np.unique(place[column(labels, "fresh")]), limit)
+        at, node = np.nonzero(state < before)
+        by = np.full(len(at), arcs.column("block")[0].as_py())
+        return pa.table({"origin": origins[at], "node": nodes[node], "dist": state[at, node], "by": by})
+
+    return step
+
+
+def spread(edges: DataFrame, start: DataFrame, weight: str = "time_s", limit: int | None = None) -> DataFrame:
+    """(origin, node, dist): the smallest of start's labels (origin, node, dist) plus weights along edges, up to ``limit``.
+
+    Edges lie in blocks of about BLOCK_EDGES, by ranges of (source, target), so that a node with very many edges has several.  A round hands
+    each block the labels that other blocks lowered, and the block spreads them over its edges until nothing changes: rounds
+    follow how often a way changes blocks, not how many edges it has.  A task holds one block and ORIGINS origins.
+    Ids, labels and weights are longs; weights aren't negative.
+    """
+    hop = checkpointed(edges.groupBy("source", "target").agg(F.min(weight).cast("long").alias("w")))
+    blocks = max(1, -(-hop.count() // BLOCK_EDGES))
+    arcs = checkpointed(hop.repartitionByRange(blocks, "source", "target").withColumn("block", F.spark_partition_id().cast("long")))
+    homes = checkpointed(arcs.select(F.col("source").alias("node"), F.col("block").alias("home")).distinct())
+    shares = dense_ids(start.select("origin"), "origin").select("origin", F.expr(f"id div {ORIGINS}").alias("share"))
+    shares = checkpointed(shares)
+    smallest = lambda rows: rows.groupBy("origin", "node").agg(F.min("dist").alias("dist"))
+    step = _block_step(UNREACHED - 1 if limit is None else limit)
+
+    first = checkpointed(smallest(start.select(*[F.col(c).cast("long") for c in ("origin", "node", "dist")])).withColumn("by", F.lit(None).cast("long")))
+    parts = [first.drop("by")]
+    fresh = first
+    while not fresh.isEmpty():
+        sent = checkpointed(fresh.join(homes, "node").where("by IS NULL OR by <> home").join(shares, "origin"))
+        active = sent.select("home", "share").distinct()
+        known = smallest(reduce(DataFrame.unionByName, parts))
+        held = known.join(homes, "node").join(shares, "origin").join(active, ["home", "share"], "left_semi").withColumn("fresh", F.lit(False))
+        labels = held.unionByName(sent.drop("by").withColumn("fresh", F.lit(True)))
+        asked = active.select(F.col("home").alias("block"), F.col("share").alias("lot"))
+        worked = arcs.join(asked, "block").groupBy("block", "lot").cogroup(labels.groupBy("home", "share")).applyInArrow(step, "origin long, node long, dist long, by long")
+        best = worked.groupBy("origin", "node").agg(F.min(F.struct("dist", "by")).alias("best")).select("origin", "node", "best.dist", "best.by")
+        was = known.select(F.col("origin").alias("_origin"), F.col("node").alias("_node"), F.col("dist").alias("_dist"))
+        fresh = checkpointed(best.join(was, (F.col("origin") == F.col("_origin")) & (F.col("node") == F.col("_node")) & (F.col("_dist") <= F.col("dist")), "left_anti"))
+        parts.append(fresh.drop("by"))
+        if len(parts) > MOST_FRONTS:
+            parts = [checkpointed(smallest(reduce(DataFrame.unionByName, parts)))]
+    return checkpointed(smallest(reduce(DataFrame.unionByName, parts)))
+
+
 def distances(edges: DataFrame, sources: DataFrame, weight: str = "time_s", limit: int | None = None) -> DataFrame:
     """(origin, node, dist): smallest sum of ``weight`` from each origin to each node it reaches, up to ``limit``.
 
     ``edges`` has source, target and a positive weight; ``sources`` has origin.
     """
-    hop = checkpointed(edges.groupBy("source", "target").agg(F.min(weight).alias("w")))
-
-    def step(front: DataFrame) -> DataFrame:
-        on = front.join(hop, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-        return on if limit is None else on.where(F.col("dist") <= limit)
-
-    start = sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("dist"))
-    return _relaxed(start, step, ["origin", "node"], "dist", _most_of(hop, "source"))
+    return spread(edges, sources.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("dist")), weight, limit)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -137,6 +215,53 @@ def certificate_violations(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return wrong.unionByName(loose)
 
 
+def predecessors(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(origin, node, parent): the smallest node from which an edge attains a label of ``labels`` (origin, node, dist); null for origins.
+
+    Times are positive, so parents form trees.
+    """
+    tail = labels.select("origin", F.col("node").alias("source"), F.col("dist").alias("d"))
+    head = labels.select("origin", F.col("node").alias("target"), F.col("dist").alias("e"))
+    tight = tail.join(edges.select("source", "target", "time_s"), "source").join(head, ["origin", "target"]).where("d + time_s = e AND target <> origin")
+    found = tight.groupBy("origin", F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+    return labels.select("origin", "node").join(found, ["origin", "node"], "left")
+
+
+def tree_faults(edges: DataFrame, labels: DataFrame, trees: DataFrame) -> DataFrame:
+    """(origin, node, fault) of trees (origin, node, parent) that don't bear out ``labels``: the first fault that applies.
+
+    fault: 'root' (an origin with a parent or a label above zero), 'unlabelled' (a tree node without a label), 'orphan' (a labelled
+    node without a parent), 'edge' (no edge from the parent), 'sum' (parent's label and edge don't add up), 'tie' (a smaller node attains the label
+    too).
+    """
+    fastest = edges.groupBy(F.col("source").alias("parent"), F.col("target").alias("node")).agg(F.min("time_s").alias("time_s"))
+    canonical = predecessors(edges, labels).withColumnRenamed("parent", "smallest")
+    held = trees.select("origin", "node", "parent", F.lit(True).alias("named")).join(labels, ["origin", "node"], "full")
+    above = labels.select("origin", F.col("node").alias("parent"), F.col("dist").alias("d"))
+    seen = held.join(fastest, ["parent", "node"], "left").join(above, ["origin", "parent"], "left").join(canonical, ["origin", "node"], "left")
+    is_root = F.col("node") == F.col("origin")
+    fault = (
+        F.when(is_root & (F.col("parent").isNotNull() | (F.col("dist") != 0)), "root")
+        .when(F.col("dist").isNull(), "unlabelled")
+        .when(~is_root & F.col("parent").isNull(), "orphan")
+        .when(~is_root & F.col("time_s").isNull(), "edge")
+        .when(~is_root & ~F.coalesce(F.col("d") + F.col("time_s") == F.col("dist"), F.lit(False)), "sum")
+        .when(~is_root & (F.col("smallest") < F.col("parent")), "tie")
+    )
+    return seen.select("origin", "node", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def last_of(pointers: DataFrame) -> DataFrame:
+    """(at, to): where the chain of pointers (at, to) from each place ends; ends point at themselves.  Chains halve every round."""
+    held = checkpointed(pointers.select("at", "to"))
+    while True:
+        on = held.select(F.col("at").alias("to"), F.col("to").alias("on"))
+        after = checkpointed(held.join(on, "to").select("at", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")))
+        held = after.select("at", "to")
+        if after.where("moved").isEmpty():
+            return held
+
+
 def strong_component(edges: DataFrame, root: DataFrame) -> DataFrame:
     """Nodes that a root reaches and that reach it."""
     there = distances(edges, root).select("origin", "node")
@@ -158,22 +283,19 @@ def strong_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         inner = checkpointed(left.join(ends, "id", "left_semi"))
         done.append(left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
         arcs = _between(arcs, inner)
-        colours = _relaxed(inner.select(F.col("id").alias("node"), F.col("id").alias("colour")), _along(arcs, "source", "target"), ["node"], "colour", _most_of(arcs, "source"))
+        own = inner.select(F.lit(0).cast("long").alias("origin"), F.col("id").alias("node"), F.col("id").alias("dist"))
+        colours = spread(arcs.withColumn("w", F.lit(0)), own, "w").select("node", F.col("dist").alias("colour"))
         tail = colours.select(F.col("node").alias("source"), "colour")
         head = colours.select(F.col("node").alias("target"), "colour")
-        same = checkpointed(arcs.join(tail, "source").join(head, ["target", "colour"]).select("source", "target"))
-        found = _relaxed(colours.where("node = colour"), _along(same, "target", "source"), ["node"], "colour", _most_of(same, "target"))
+        same = arcs.join(tail, "source").join(head, ["target", "colour"]).select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(0).alias("w"))
+        roots = colours.where("node = colour").select(F.lit(0).cast("long").alias("origin"), "node", F.col("colour").alias("dist"))
+        found = spread(same, roots, "w").select("node", F.col("dist").alias("colour"))
         done.append(found.select(F.col("node").alias("id"), F.col("colour").alias("component")))
         left = checkpointed(inner.join(done[-1], "id", "left_anti"))
         arcs = _between(arcs, left)
     return reduce(DataFrame.unionByName, done) if done else left.select("id", F.col("id").alias("component"))
 
 
-def _along(arcs: DataFrame, tail: str, head: str) -> Callable[[DataFrame], DataFrame]:
-    """A step that hands colours from the tail of each arc to its head."""
-    return lambda front: front.join(arcs, F.col("node") == F.col(tail)).select(F.col(head).alias("node"), "colour")
-
-
 def _between(arcs: DataFrame, ids: DataFrame) -> DataFrame:
     """Arcs with both ends among the ids."""
     kept = arcs.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")

@@ -47,6 +47,29 @@ edges_v AS (
   WHERE source <> target GROUP BY source, target)"""
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, time_s, length_m): a square grid with a node for every part, long ways and some one-way edges."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS p", "CAST(p_size AS BIGINT) AS size")
+    side = int(parts.count() ** 0.5)
+    across, down = parts.where(f"p < {side * side} AND p % {side} < {side - 1}"), parts.where(f"p + {side} < {side * side}")
+    wide, tall = "100 + size * 7 % 31 AS length_m", "100 + size * 3 % 37 AS length_m"
+    return (
+        across.selectExpr("p AS source", "p + 1 AS target", "size AS time_s", wide)
+        .unionByName(across.where("p % 7 <> 3").selectExpr("p + 1 AS source", "p AS target", "size * 3 % 50 + 1 AS time_s", wide))
+        .unionByName(down.selectExpr("p AS source", f"p + {side} AS target", "size * 5 % 50 + 1 AS time_s", tall))
+        .unionByName(down.where("p % 11 <> 5").selectExpr(f"p + {side} AS source", "p AS target", "size * 9 % 50 + 1 AS time_s", tall))
+    )
+
+
+STREETS_SQL = """
+side_v AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS side FROM part),
+streets_v AS (
+  SELECT p_partkey AS source, p_partkey + 1 AS target, CAST(p_size AS BIGINT) AS time_s, CAST(100 + p_size * 7 % 31 AS BIGINT) AS length_m FROM part, side_v WHERE p_partkey < side * side AND p_partkey % side < side - 1
+  UNION ALL SELECT p_partkey + 1, p_partkey, CAST(p_size * 3 % 50 + 1 AS BIGINT), CAST(100 + p_size * 7 % 31 AS BIGINT) FROM part, side_v WHERE p_partkey < side * side AND p_partkey % side < side - 1 AND p_partkey % 7 <> 3
+  UNION ALL SELECT p_partkey, p_partkey + side, CAST(p_size * 5 % 50 + 1 AS BIGINT), CAST(100 + p_size * 3 % 37 AS BIGINT) FROM part, side_v WHERE p_partkey + side < side * side
+  UNION ALL SELECT p_partkey + side, p_partkey, CAST(p_size * 9 % 50 + 1 AS BIGINT), CAST(100 + p_size * 3 % 37 AS BIGINT) FROM part, side_v WHERE p_partkey + side < side * side AND p_partkey % 11 <> 5)"""
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site_id, anchor, kind): stop sites and the road node they are tied to."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("site_id"), (F.col("p_partkey") % nodes(spark, sf_dir)).alias("anchor"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("size"))

@@ -36,25 +36,6 @@ def test_strong_classes_of_cycles_chains_and_lone_nodes(spark):
     assert {r.id: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
 
 
-def test_distances_when_nothing_is_sent(spark, monkeypatch):
-    rng = random.Random(5)
-    arcs = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 9)) for _ in range(160)]
-    edges, start = spark.createDataFrame(arcs, "source long, target long, time_s long"), spark.createDataFrame([(0,), (7,)], "origin long")
-    sent = sorted(map(tuple, roads.distances(edges, start, limit=11).collect()))
-    monkeypatch.setattr(roads, "MOST_SENT", 0)
-    monkeypatch.setattr(roads, "MOST_FRONTS", 2)
-    best = {}
-    for origin in (0, 7):
-        dist = {origin: 0}
-        for _ in range(40):
-            for a, b, w in arcs:
-                if a in dist and dist[a] + w < dist.get(b, 12):
-                    dist[b] = dist[a] + w
-        best |= {(origin, n): d for n, d in dist.items()}
-    shuffled = sorted(map(tuple, roads.distances(edges, start, limit=11).collect()))
-    assert sent == shuffled == sorted((o, n, d) for (o, n), d in best.items())
-
-
 PRETTY = '{\n  "rows": [\n    {\n      "id": 1,\n      "at": {\n        "x": 2\n      }\n    },\n    {\n      "id": 3,\n      "at": null\n    }\n  ]\n}\n'
 
 
