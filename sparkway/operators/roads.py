@@ -337,18 +337,11 @@ def envelope_faults(inside: DataFrame, paths: DataFrame, ratios: list[int]) -> D
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over undirected pairs (a, b).
+    """(id, component): the smallest id reachable over undirected pairs (a, b); ids are longs.
 
-    Labels spread over the pairs and then jump to the label of their label, so rounds grow with the
-    logarithm of the longest chain for ordered ids.
+    Every node starts with its own id as label, and labels spread block by block.
     """
-    both = checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
-        spread = labels.join(near, "id", "left").select("id", F.least("component", "n").alias("c"), F.col("component").alias("old"))
-        jump = spread.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = checkpointed(spread.join(jump, "c", "left").select("id", F.least("c", "cc").alias("component"), "old"))
-        labels = after.select("id", "component")
-        if after.where("component <> old").isEmpty():
-            return labels
+    both = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(0).cast("long").alias("w"))
+    both = both.unionByName(both.select(F.col("target").alias("source"), F.col("source").alias("target"), "w"))
+    own = nodes.select(F.lit(0).cast("long").alias("origin"), F.col("id").alias("node"), F.col("id").alias("dist"))
+    return spread(both, own, "w").select(F.col("node").alias("id"), F.col("dist").alias("component"))
