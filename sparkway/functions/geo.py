@@ -134,6 +134,6 @@ def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series)
 
 
 def geodesic_detour(lat: Column, lon: Column, origin: tuple[Column, Column], destination: tuple[Column, Column]) -> Column:
-    """How much longer the way over a point is than the direct one, on the ellipsoid; never below zero."""
-    direct = geodesic(*origin, *destination)
-    return F.greatest(F.lit(0.0), geodesic(*origin, lat, lon) + geodesic(lat, lon, *destination) - direct)
+    """How much longer the way over a point is than the direct one, on the ellipsoid; never below zero, null where a coordinate is."""
+    longer = geodesic(*origin, lat, lon) + geodesic(lat, lon, *destination) - geodesic(*origin, *destination)
+    return F.when(longer > 0, longer).when(longer <= 0, 0.0)
