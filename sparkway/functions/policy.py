@@ -74,18 +74,28 @@ def effective_speed(road_class: Column, posted: Column, low: float = LEAST_SPEED
     return F.greatest(F.lit(low), F.least(F.lit(high), by_class, posted))
 
 
+def shelter_contour(tags: Column, nodes: Column) -> Column:
+    """Whether a way with road class 'yes' is in fact the outline of a shelter: a closed ring of nodes that is building and shelter."""
+    at = lambda key, value: F.coalesce(F.try_element_at(tags, F.lit(key)) == value, F.lit(False))
+    closed = (F.size(nodes) >= 2) & (F.try_element_at(nodes, F.lit(1)) == F.try_element_at(nodes, F.lit(-1)))
+    return at("highway", "yes") & at("building", "yes") & at("amenity", "shelter") & F.coalesce(closed, F.lit(False))
+
+
 def admitted_ways(ways: DataFrame) -> DataFrame:
     """(way_id, direction, excluded_reason, speed, posted): a row for each direction that is driven, one with direction 0 for a way that isn't.
 
     ways: way_id, road_class, access tags, oneway, oneway_motorcar, oneway_motor_vehicle, junction, conditional_access,
-    conditional_oneway, maxspeed, maxspeed_forward, maxspeed_backward.
+    conditional_oneway, maxspeed, maxspeed_forward, maxspeed_backward; contour (boolean) where it is known, see ``shelter_contour``.
+    Road class 'yes' is left out where contour says so, and an error elsewhere.
     """
-    text = ways.select("way_id", "road_class", *[tag(F.col(c)).alias(c) for c in ways.columns if c not in ("way_id", "road_class")])
-    road_class = known_class(F.col("road_class"))
+    kept = ("way_id", "road_class", "contour")
+    text = ways.select(*[c for c in kept if c in ways.columns], *[tag(F.col(c)).alias(c) for c in ways.columns if c not in kept])
+    contour = F.coalesce((F.col("road_class") == "yes") & F.col("contour"), F.lit(False)) if "contour" in ways.columns else F.lit(False)
+    road_class = F.when(contour, F.col("road_class")).otherwise(known_class(F.col("road_class")))
     oneway = effective_oneway([F.col("oneway_motorcar"), F.col("oneway_motor_vehicle"), F.col("oneway")], F.col("junction"), F.col("road_class"))
     judged = text.withColumns({"road_class": road_class, "oneway_used": oneway})
     reason = excluded_reason(F.col("road_class"), F.coalesce(*map(F.col, ACCESS_TAGS)), F.col("conditional_access"), F.col("conditional_oneway"), F.col("oneway_used"))
-    judged = judged.withColumn("excluded_reason", reason)
+    judged = judged.withColumn("excluded_reason", F.when(contour, "closed_shelter_contour").otherwise(reason))
     ways_of = F.when(F.col("excluded_reason").isNotNull(), F.array(F.lit(0))).otherwise(directions(F.col("oneway_used")))
     dealt = judged.withColumn("direction", F.explode(ways_of))
     by_direction = F.coalesce(F.when(F.col("direction") == -1, F.col("maxspeed_backward")).otherwise(F.col("maxspeed_forward")), F.col("maxspeed"))

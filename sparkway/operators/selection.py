@@ -58,6 +58,32 @@ def round_robin(sites: DataFrame, keys: list[str], most: int) -> DataFrame:
     return heads.groupBy(*keys).applyInArrow(deal, f"{types}, place int, site long")
 
 
+class DomainUnavailable(ValueError):
+    """Groups that hold fewer sites than were asked for; ``short`` lists a few with what they have."""
+
+    def __init__(self, scenario: str, requested: int, short: list):
+        super().__init__(f"domain unavailable: scenario {scenario}, {requested} sites requested, but {short}")
+        self.scenario, self.requested, self.short = scenario, requested, short
+
+
+def domain_rows(groups: DataFrame, sites: DataFrame, keys: list[str], count: int, scenario: str, require_full: bool = True) -> DataFrame:
+    """The first ``count`` sites (keys, place, site, effects) of every group of a scenario, by place.
+
+    'energy_only' takes charging sites alone, 'schedule' all.  A group of ``groups`` that has fewer raises DomainUnavailable before anything else runs;
+    without ``require_full`` what there is comes back, as it is.
+    """
+    if count < 0 or scenario not in ("energy_only", "schedule"):
+        raise ValueError("count must not be negative, and the scenario energy_only or schedule")
+    rows = sites.where(F.array_contains("effects", "C")) if scenario == "energy_only" else sites
+    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "site"))).where(F.col("_rank") <= count).drop("_rank")
+    if require_full:
+        held = groups.select(*keys).distinct().join(first.groupBy(*keys).agg(F.count(F.lit(1)).alias("available")), keys, "left").na.fill(0, ["available"])
+        short = held.where(F.col("available") < count).orderBy(*keys).limit(5).collect()
+        if short:
+            raise DomainUnavailable(scenario, count, [tuple(r) for r in short])
+    return first.join(groups.select(*keys).distinct(), keys, "left_semi")
+
+
 def with_fallback(rows: DataFrame, candidates: DataFrame, levels: list[tuple[str, list[str]]], value: str) -> DataFrame:
     """Rows with the smallest ``value`` of the first level that has one, and that level's name (null: none has).
 

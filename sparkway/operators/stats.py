@@ -114,6 +114,34 @@ def agreement(labels: DataFrame) -> DataFrame:
     return row.select("rows", "both_pairs", "left_pairs", "right_pairs", F.round(index, 9).alias("adjusted_rand"))
 
 
+def stability(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row on how regions (id, region) changed: common, new and removed members, adjusted Rand index of the common ones, mean best overlap, splits and merges.
+
+    overlap: of each old region's common members with the whole of a new region, the best; null without common members, as is the index.
+    new_regions hold no common member; an old region is split, and a new one merged, if it meets more than one of the other side.
+    """
+    cells = checkpointed(before.select("id", F.col("region").alias("left")).join(after.select("id", F.col("region").alias("right")), "id").groupBy("left", "right").agg(F.count(F.lit(1)).alias("n")))
+    pairs = lambda n: F.coalesce(F.sum(F.expr(f"{n} * ({n} - 1) / 2")), F.lit(0.0))
+    left = cells.groupBy("left").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("met"))
+    right = cells.groupBy("right").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("met"))
+    full = after.groupBy(F.col("region").alias("right")).agg(F.count(F.lit(1)).alias("full"))
+    overlap = F.col("n") / (F.col("held") + F.col("full") - F.col("n"))
+    best = cells.join(left, "left").join(full, "right").groupBy("left").agg(F.max(overlap).alias("best")).agg(F.avg("best").alias("overlap"))
+    # tables of one row each
+    whole = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("common"), pairs("n").alias("both"))
+    for rows, name, more in ((left, "l", "split_regions"), (right, "r", "merged_regions")):
+        whole = whole.crossJoin(rows.agg(pairs("held").alias(name), F.count(F.when(F.col("met") > 1, 1)).alias(more), F.count(F.lit(1)).alias(f"{name}_regions")))
+    whole = whole.crossJoin(best).crossJoin(before.agg(F.count(F.lit(1)).alias("old"))).crossJoin(after.agg(F.count(F.lit(1)).alias("now"), F.count_distinct("region").alias("regions")))
+    every = F.col("common") * (F.col("common") - 1) / 2
+    expected = F.when(every > 0, F.col("l") * F.col("r") / every).otherwise(0.0)
+    most = (F.col("l") + F.col("r")) / 2
+    index = F.when(most != expected, (F.col("both") - expected) / (most - expected)).when(F.col("common") > 0, 1.0)
+    return whole.select(
+        "common", (F.col("now") - F.col("common")).alias("new_members"), (F.col("old") - F.col("common")).alias("removed_members"), index.alias("adjusted_rand"),
+        "overlap", (F.col("regions") - F.col("r_regions")).alias("new_regions"), "split_regions", "merged_regions",
+    )
+
+
 def claim_faults(claims: DataFrame, keys: list[str], complete: tuple[str, ...] = ("attained_optimum", "infeasible")) -> DataFrame:
     """(keys, fault) of receipts (status, key, feasible_key, replayed) that claim what they can't; the first that applies.
 

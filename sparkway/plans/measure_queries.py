@@ -100,11 +100,11 @@ def selected_candidates(spark, sf_dir):
     return selection.round_robin(selection.best_per_anchor(sites.where("effects IS NOT NULL"), ["domain"]), ["domain"], 24)
 
 
-@query("SELECT CAST(site_key AS BIGINT) AS site, offset_class, CAST(near_key AS BIGINT) AS near FROM (SELECT s_suppkey AS site_key, CASE WHEN n.c_custkey IS NOT NULL THEN 'own' WHEN r.c_custkey IS NOT NULL THEN 'region' ELSE 'all' END AS offset_class, coalesce(n.c_custkey, r.c_custkey, g.c_custkey) AS near_key FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal > 9800 GROUP BY 1) n ON n.c_nationkey = s_nationkey LEFT JOIN (SELECT n_regionkey, min(c_custkey) AS c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9800 GROUP BY 1) r ON r.n_regionkey = nation.n_regionkey CROSS JOIN (SELECT min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal > 9800) g)")
+@query("SELECT CAST(site_key AS BIGINT) AS site, offset_class, CAST(near_key AS BIGINT) AS near FROM (SELECT s_suppkey AS site_key, CASE WHEN n.c_custkey IS NOT NULL THEN 'own' WHEN r.c_custkey IS NOT NULL THEN 'region' ELSE 'all' END AS offset_class, coalesce(n.c_custkey, r.c_custkey, g.c_custkey) AS near_key FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) n ON n.c_nationkey = s_nationkey LEFT JOIN (SELECT n_regionkey, min(c_custkey) AS c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) r ON r.n_regionkey = nation.n_regionkey CROSS JOIN (SELECT min(c_custkey) AS c_custkey FROM customer) g)")
 def first_with_fallback(spark, sf_dir):
     """Choice with fallbacks: own nation, else the region, else all."""
     nation = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
-    rich = V.table(spark, sf_dir, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("near")).join(nation, "nation")
+    rich = V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("near")).join(nation, "nation")
     sites = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("nation")).join(nation, "nation")
     return selection.with_fallback(sites, rich, [("own", ["nation"]), ("region", ["region"]), ("all", [])], "near").select("site", F.col("level").alias("offset_class"), "near")
 
@@ -114,3 +114,25 @@ def best_of_anchor(spark, sf_dir):
     """Dedup per anchor: the preferred site of every anchor."""
     place = F.row_number().over(Window.partitionBy("p_brand", F.col("p_partkey") % 40).orderBy("p_size", "p_partkey"))
     return V.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("site"), place.alias("place")).where("place = 1")
+
+
+_NOW = "c_custkey % 37 + CASE WHEN c_custkey % 5 = 0 THEN c_nationkey % 3 * 100 ELSE 0 END + CASE WHEN c_custkey % 37 > 30 THEN 30 - c_custkey % 37 ELSE 0 END"
+
+
+@query(
+    """SELECT common, now - common AS new_members, old - common AS removed_members, round((together - l * r / every) / ((l + r) / 2 - l * r / every), 9) AS adjusted_rand, round(overlap, 9) AS overlap, regions - r_regions AS new_regions, split_regions, merged_regions
+       FROM (SELECT CAST(sum(n) AS BIGINT) AS common, sum(n * (n - 1) / 2) AS together, CAST(sum(n) AS DOUBLE) * (sum(n) - 1) / 2 AS every FROM cells_v),
+            (SELECT sum(held * (held - 1) / 2) AS l, count(*) FILTER (met > 1) AS split_regions FROM (SELECT CAST(sum(n) AS DOUBLE) AS held, count(*) AS met FROM cells_v GROUP BY l)),
+            (SELECT sum(held * (held - 1) / 2) AS r, count(*) FILTER (met > 1) AS merged_regions, count(*) AS r_regions FROM (SELECT CAST(sum(n) AS DOUBLE) AS held, count(*) AS met FROM cells_v GROUP BY r)),
+            (SELECT avg(best) AS overlap FROM (SELECT c.l, max(c.n / CAST(h.held + f.held - c.n AS DOUBLE)) AS best FROM cells_v c JOIN (SELECT l, sum(n) AS held FROM cells_v GROUP BY l) h USING (l) JOIN (SELECT region, count(*) AS held FROM after_v GROUP BY region) f ON f.region = c.r GROUP BY c.l)),
+            (SELECT count(*) AS old FROM before_v), (SELECT count(*) AS now, count(DISTINCT region) AS regions FROM after_v)""",
+    "before_v AS (SELECT c_custkey AS id, c_custkey % 37 AS region FROM customer WHERE c_custkey % 11 <> 0)", f"after_v AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 AND c_custkey % 4 = 0 THEN 5000 + c_nationkey ELSE {_NOW} END AS region FROM customer WHERE c_custkey % 13 <> 0)",
+    "cells_v AS (SELECT b.region AS l, a.region AS r, count(*) AS n FROM before_v b JOIN after_v a USING (id) GROUP BY ALL)",
+)
+def region_stability(spark, sf_dir):
+    """How regions changed from one envelope to the next: index, overlap, splits, merges, new ones."""
+    customers = V.table(spark, sf_dir, "customer")
+    before = customers.where("c_custkey % 11 <> 0").selectExpr("c_custkey AS id", "c_custkey % 37 AS region")
+    after = customers.where("c_custkey % 13 <> 0").selectExpr("c_custkey AS id", f"CASE WHEN c_custkey % 11 = 0 AND c_custkey % 4 = 0 THEN 5000 + c_nationkey ELSE {_NOW} END AS region")
+    found = stats.stability(before, after)
+    return found.withColumns({c: F.round(c, 9) for c in ("adjusted_rand", "overlap")})

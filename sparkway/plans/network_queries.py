@@ -9,7 +9,7 @@ from ..operators import candidates, roads, spatial, stats, tables
 from ..sources import views as V
 from .route_queries import LEGS_SQL, OBJECTIVES, WALKS, _origins, query
 
-LINKS_SQL = "links_v AS (SELECT DISTINCT o_custkey AS source, o_custkey // 30 * 30 + o_orderkey % 30 AS target FROM orders WHERE o_orderkey % 7 = 0)"
+LINKS_SQL = "links_v AS (SELECT DISTINCT o_custkey AS source, o_custkey // 30 * 30 + least(29, o_custkey % 30 // 5 * 5 + o_orderkey % 7) AS target FROM orders)"
 
 
 @query(
@@ -18,8 +18,8 @@ LINKS_SQL = "links_v AS (SELECT DISTINCT o_custkey AS source, o_custkey // 30 *
 )
 def strong_classes(spark, sf_dir):
     """Strong components of a whole graph, one row for each node."""
-    orders = V.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    links = orders.selectExpr("o_custkey AS source", "o_custkey div 30 * 30 + o_orderkey % 30 AS target").distinct()
+    orders = V.table(spark, sf_dir, "orders")
+    links = orders.selectExpr("o_custkey AS source", "o_custkey div 30 * 30 + least(29, o_custkey % 30 div 5 * 5 + o_orderkey % 7) AS target").distinct()
     nodes = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id")))
     return roads.strong_classes(nodes, links)
 
@@ -41,16 +41,17 @@ def road_distance_of_pairs(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey AS request, l.time_s, l.length_m, l.time_s IS NOT NULL AS reachable FROM orders LEFT JOIN sites_v s ON s.site_id = o_orderkey % 150 LEFT JOIN legs l ON l.origin = o_custkey % 5 AND l.node = s.anchor AND l.time_s <= 6",
+    "SELECT o_orderkey AS request, l.time_s, l.length_m, l.time_s IS NOT NULL AS reachable FROM orders LEFT JOIN sites_v s ON s.site_id = o_orderkey % 150 AND s.site_id % 9 <> 4 LEFT JOIN legs l ON l.origin = o_custkey % 5 AND l.node = s.anchor",
     V.EDGES_SQL, WALKS, LEGS_SQL, V.SITES_SQL,
 )
 def legs_of_sites(spark, sf_dir):
     """Requested site pairs looked up in frozen legs between road anchors; what is missing stays unreachable."""
     edges, sites = V.edges(spark, sf_dir), V.sites(spark, sf_dir)
-    legs = roads.selected_legs(edges, _origins(spark)).where("time_s <= 6").select(F.col("origin").alias("source"), F.col("node").alias("target"), "time_s", "length_m")
+    legs = roads.selected_legs(edges, _origins(spark)).select(F.col("origin").alias("source"), F.col("node").alias("target"), "time_s", "length_m")
     # requests start at depots 0 to 4, which are sites of their own with negative ids; the fifth has no legs
     depots = spark.range(5).select((-F.col("id") - 1).alias("site"), F.col("id").alias("anchor"))
-    aliases = depots.unionByName(sites.select(F.col("site_id").alias("site"), "anchor"))
+    # every ninth site has no road beside it
+    aliases = depots.unionByName(sites.select(F.col("site_id").alias("site"), F.when(F.col("site_id") % 9 != 4, F.col("anchor")).alias("anchor")))
     asked = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS request", "-(o_custkey % 5) - 1 AS from_site", "o_orderkey % 150 AS to_site")
     return roads.legs_of_sites(legs, aliases, asked).select("request", "time_s", "length_m", "reachable")
 

@@ -360,7 +360,8 @@ def paired_ratio(spark, sf_dir):
     """Median of paired ratios over queries that both methods completed."""
     done = V.receipts(spark, sf_dir).where("status = 'attained_optimum'")
     by = lambda m: done.where(F.col("method") == m).select("query_id", F.col("time_s").alias(m))
-    return by("strong").join(by("scale"), "query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.col("strong").cast("double") / F.col("scale")), 9).alias("median_ratio"))
+    ratios = by("strong").join(by("scale"), "query_id").select(F.lit(0).alias("all"), (F.col("strong").cast("double") / F.col("scale")).alias("ratio"))
+    return stats.linear_quantiles(ratios, ["all"], "ratio", [0.5]).select("n", F.round("q500", 9).alias("median_ratio"))
 
 
 @query("SELECT method, count(*) FILTER (status = 'attained_optimum') AS attained_optimum, count(*) FILTER (status = 'infeasible') AS infeasible, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'time_limit') AS time_limit FROM slots GROUP BY method", V.RECEIPTS_SQL, V.GRID_SQL, SLOTS_SQL)

@@ -71,3 +71,32 @@ def test_boundary_with_a_broken_line(spark, tmp_path):
     (tmp_path / "bad.poly").write_text("name\nring\n 1.0 2.0\n 1 x\nEND\nEND\n")
     with pytest.raises(Exception, match="two numbers"):
         files.read_boundary(spark, str(tmp_path / "bad.poly"))
+
+
+def test_domain_rows(spark):
+    sites = spark.createDataFrame([("g", k, 100 - k, ["C"] if k % 2 else ["S"]) for k in range(6)] + [("h", 1, 7, ["C", "S"])], "grp string, place int, site long, effects array<string>")
+    groups = spark.createDataFrame([("g",), ("h",)], "grp string")
+    rows = lambda *more, **how: sorted((r["grp"], r["site"]) for r in selection.domain_rows(groups, sites, ["grp"], *more, **how).collect())
+    assert rows(1, "schedule") == [("g", 100), ("h", 7)] and rows(1, "energy_only") == [("g", 99), ("h", 7)]
+    assert rows(3, "energy_only", require_full=False) == [("g", 95), ("g", 97), ("g", 99), ("h", 7)]
+    with pytest.raises(selection.DomainUnavailable) as short:
+        rows(3, "schedule")
+    assert (short.value.scenario, short.value.requested, short.value.short) == ("schedule", 3, [("h", 1)])
+    with pytest.raises(selection.DomainUnavailable):
+        selection.domain_rows(groups.union(spark.createDataFrame([("none",)], "grp string")), sites, ["grp"], 1, "schedule")
+    with pytest.raises(ValueError, match="scenario"):
+        rows(1, "other")
+
+
+def test_closed_shelters(spark):
+    tags = {"highway": "yes", "building": "yes", "amenity": "shelter"}
+    rows = [(1, tags, [1, 2, 3, 1]), (2, tags, [1, 2, 3]), (3, {**tags, "building": "no"}, [1, 2, 1]), (4, tags, [1]), (5, tags, []), (6, {"highway": "yes"}, [1, 1])]
+    frame = spark.createDataFrame(rows, "way_id long, tags map<string, string>, nodes array<long>")
+    got = {r["way_id"]: r["c"] for r in frame.select("way_id", policy.shelter_contour(F.col("tags"), F.col("nodes")).alias("c")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    names = ["access", "vehicle", "motor_vehicle", "motorcar", "oneway", "oneway_motorcar", "oneway_motor_vehicle", "junction", "conditional_access", "conditional_oneway", "maxspeed", "maxspeed_forward", "maxspeed_backward"]
+    ways = spark.createDataFrame([(1, "yes", True), (2, "primary", True), (3, "primary", None)], "way_id long, road_class string, contour boolean").select("*", *[F.lit(None).cast("string").alias(n) for n in names])
+    found = {(r["way_id"], r["direction"], r["excluded_reason"]) for r in policy.admitted_ways(ways).collect()}
+    assert found == {(1, 0, "closed_shelter_contour"), (2, 1, None), (2, -1, None), (3, 1, None), (3, -1, None)}
+    with pytest.raises(Exception, match="unknown road class"):
+        policy.admitted_ways(ways.withColumn("contour", F.lit(False))).collect()
