@@ -106,21 +106,27 @@ def spread(edges: DataFrame, start: DataFrame, weight: str = "time_s", limit: in
     """
     hop = checkpointed(edges.groupBy("source", "target").agg(F.min(weight).cast("long").alias("w")))
     blocks = max(1, -(-hop.count() // BLOCK_EDGES))
-    arcs = checkpointed(hop.repartitionByRange(blocks, "source", "target").withColumn("block", F.spark_partition_id().cast("long")))
+    ranged = hop.repartitionByRange(blocks, "source", "target").withColumn("block", F.spark_partition_id().cast("long"))
+    arcs = checkpointed(ranged) if blocks > 1 else hop.withColumn("block", F.lit(0).cast("long"))
     homes = checkpointed(arcs.select(F.col("source").alias("node"), F.col("block").alias("home")).distinct())
-    shares = dense_ids(start.select("origin"), "origin").select("origin", F.expr(f"id div {ORIGINS}").alias("share"))
-    shares = checkpointed(shares)
+    if start.select("origin").distinct().limit(ORIGINS + 1).count() <= ORIGINS:
+        dealt = lambda rows: rows.withColumn("share", F.lit(0).cast("long"))
+    else:
+        shares = checkpointed(dense_ids(start.select("origin"), "origin").select("origin", F.expr(f"id div {ORIGINS}").alias("share")))
+        dealt = lambda rows: rows.join(shares, "origin")
     smallest = lambda rows: rows.groupBy("origin", "node").agg(F.min("dist").alias("dist"))
     step = _block_step(UNREACHED - 1 if limit is None else limit)
 
     first = checkpointed(smallest(start.select(*[F.col(c).cast("long") for c in ("origin", "node", "dist")])).withColumn("by", F.lit(None).cast("long")))
     parts = [first.drop("by")]
     fresh = first
-    while not fresh.isEmpty():
-        sent = checkpointed(fresh.join(homes, "node").where("by IS NULL OR by <> home").join(shares, "origin"))
+    while True:
+        sent = checkpointed(dealt(fresh.join(homes, "node").where("by IS NULL OR by <> home")))
+        if sent.isEmpty():
+            break
         active = sent.select("home", "share").distinct()
         known = smallest(reduce(DataFrame.unionByName, parts))
-        held = known.join(homes, "node").join(shares, "origin").join(active, ["home", "share"], "left_semi").withColumn("fresh", F.lit(False))
+        held = dealt(known.join(homes, "node")).join(active, ["home", "share"], "left_semi").withColumn("fresh", F.lit(False))
         labels = held.unionByName(sent.drop("by").withColumn("fresh", F.lit(True)))
         asked = active.select(F.col("home").alias("block"), F.col("share").alias("lot"))
         worked = arcs.join(asked, "block").groupBy("block", "lot").cogroup(labels.groupBy("home", "share")).applyInArrow(step, "origin long, node long, dist long, by long")
