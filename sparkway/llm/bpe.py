@@ -3,11 +3,14 @@
 The distinct words of a batch lie in one flat symbol array.  A round looks every adjacent
 pair up by binary search over the sorted pair keys, takes each word's lowest rank,
 merges all its occurrences at once (left to right where they overlap) and goes on with the words
-that still have a known pair.
+that still have a known pair.  A word of more than LONG_WORD bytes would take a round for each of very many ranks; its places
+wait ordered by rank instead, and only pairs beside a merge are looked up again.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 import re
 import unicodedata
@@ -25,6 +28,8 @@ from .common import documents
 
 ROWS_AT_ONCE = 512
 CACHED_WORDS = 100_000
+#: A word of more bytes is merged by itself.
+LONG_WORD = 512
 NO_RANK = np.iinfo(np.int64).max
 
 # Texts of these letters alone are cut by the standard library, twice as fast; its classes are spelt
@@ -61,6 +66,8 @@ class WordBpe:
         keys = (left << 32) | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), merged[order]
+        self.by_rank = (left, right, merged)
+        self.listed: list[list[int]] | None = None
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + self.end] for c in letters], np.int64)
@@ -75,8 +82,50 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
+    def _symbols(self, word: bytes) -> np.ndarray:
+        raw = np.frombuffer(word, np.uint8)
+        return np.append(self.inner[raw[:-1]], self.final[raw[-1]])
+
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Token ids of the symbols of one long word.
+
+        A word takes a round for each rank that it meets, which are very many in a long one.  Here its places wait ordered by rank and place, and
+        only the pairs beside a merge are looked up again, by the same binary search.
+        """
+        if self.listed is None:
+            self.listed = [a.tolist() for a in (self.keys, self.ranks, *self.by_rank)]
+        keys, ranks, left, right, merged = self.listed
+        pairs = (symbols[:-1] << 32) | symbols[1:]
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        places = np.flatnonzero(self.keys[at] == pairs)
+        waiting = list(zip(self.ranks[at[places]].tolist(), places.tolist(), strict=True))
+        heapq.heapify(waiting)
+        n, held = len(symbols), symbols.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while waiting:
+            rank, i = heapq.heappop(waiting)
+            j = after[i]
+            if j >= n or held[i] != left[rank] or held[j] != right[rank]:
+                continue  # the pair is gone
+            held[i], held[j] = merged[rank], -1
+            after[i] = end = after[j]
+            if end < n:
+                before[end] = i
+            for a, b in ((before[i], i), (i, end)):
+                if a >= 0 and b < n:
+                    pair = held[a] << 32 | held[b]
+                    k = bisect.bisect_left(keys, pair)
+                    if k < len(keys) and keys[k] == pair:
+                        heapq.heappush(waiting, (ranks[k], a))
+        found = np.array(held, np.int64)
+        return found[found >= 0]
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each (non-empty) word."""
+        if any(len(w) > LONG_WORD for w in words):
+            few = [w for w in words if len(w) <= LONG_WORD]
+            short = iter(self.merge(few) if few else ())
+            return [next(short) if len(w) <= LONG_WORD else self._merge_long(self._symbols(w)) for w in words]
         lengths = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.inner[raw]

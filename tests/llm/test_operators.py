@@ -81,6 +81,23 @@ def test_bpe(spark, data, given, odd, odd_rows, empty):
     assert bpe.decode(bpe.encode(empty, path=path), path=path).count() == 0
 
 
+def test_bpe_of_long_words():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), bpe.vocabulary(path)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 4000), ("etaoin", 3000), ("ACGT", 5000), ("aé", 900), ("z", 700), ("ab", 513), ("the", 512))]
+    texts += ["ab" * 3000, "the" * 2000 + " " + "ing" * 600 + " short words " + "x" * 511, "word " * 50 + "".join(rng.choice("ést") for _ in range(2000))]
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    (ids,) = ours.encode(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))])
+    assert len(ids) > 100_000 and time.process_time() - began < 3
+
+
 def test_simhash(spark, data, given, odd, odd_rows, empty):
     same(Q["op7_simhash"](spark, data).select("doc_id", "fingerprint", "component_id").collect(), brute.simhash_classes(given))
     found = simhash.near_duplicates(odd, shingle=3, group_limit=4).collect()
