@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stats import running_counts
+
 
 def generated(sites: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
     """(first, second, cost): one-stop plans of sites that offer all, and ordered two-stop plans that do so together.
@@ -24,36 +29,80 @@ def generated(sites: DataFrame, pairs: DataFrame, budget: int) -> DataFrame:
     return single.unionByName(double).where(F.col("cost") <= budget)
 
 
-def _undominated(values: np.ndarray) -> np.ndarray:
-    """Rows that no other row beats (all at most as large, one smaller); equal rows all stay."""
-    order = np.lexsort(values.T[::-1])
-    kept: list[int] = []
-    front = np.empty_like(values)
-    for i in order.tolist():  # in lexicographic order only earlier rows can dominate
-        v = values[i]
-        held = front[: len(kept)]
-        if np.any(np.all(held <= v, axis=1) & np.any(held < v, axis=1)):
-            continue
-        front[len(kept)] = v
-        kept.append(i)
-    return np.sort(np.array(kept, int))
-
+def _undominated(values: np.ndarray, block: int = 256) -> np.ndarray:
+    """Places of rows that no other row beats (all at most as large, one smaller); equal rows all stay.
 
-def skyline(plans: DataFrame, group: str, objectives: list[str], parts: int = 8) -> DataFrame:
+    Rows go by their sum and then column by column, so only earlier ones can beat a row; a block of them is held against the front at once.
+    """
+    order = np.lexsort((*values.T[::-1], values.sum(axis=1)))
+    front = np.zeros((0, values.shape[1]), values.dtype)
+    kept = []
+    for start in range(0, len(order), block):
+        places = order[start : start + block]
+        for rivals in (front, values[places]):
+            mine = values[places]
+            beaten = np.zeros(len(places), bool)
+            for first in range(0, len(rivals), 4096):
+                some = rivals[first : first + 4096, None, :]
+                beaten |= ((some <= mine).all(axis=2) & (some < mine).any(axis=2)).any(axis=0)
+            places = places[~beaten]
+        kept.append(places)
+        front = np.concatenate((front, values[places]))
+    return np.sort(np.concatenate(kept)) if kept else np.zeros(0, int)
+
+
+#: Rows of one share of a group, and shares that are merged at once.
+SHARE_ROWS, FAN = 20_000, 8
+
+
+def skyline(plans: DataFrame, group: str, objectives: list[str], share_rows: int = SHARE_ROWS) -> DataFrame:
     """Plans that no plan of the same group dominates; all objectives are to be small, ties stay.
 
-    Every group is first reduced in ``parts`` shares, so that a hot group is not one task's work; what
-    is left of the shares is then reduced together.
+    Equal plans are counted first.  A group is reduced in shares of about ``share_rows``, and what is left of FAN shares is
+    reduced together, until one share holds the front.  So a task holds a share, or the fronts of FAN shares.
     """
-    schema = plans.select(group, *objectives).schema
+    counted = plans.groupBy(group, *objectives).agg(F.count(F.lit(1)).alias("_copies"))
+    schema = T.StructType([*plans.select(group, *objectives).schema.fields, T.StructField("_copies", T.LongType()), T.StructField("_share", T.LongType())])
 
     def reduce(table: pa.Table) -> pa.Table:
         values = np.stack([table.column(c).to_numpy() for c in objectives], axis=1)
-        return table.take(pa.array(_undominated(values))).select([group, *objectives])
-
-    share = F.pmod(F.xxhash64(*objectives), F.lit(parts))
-    local = plans.select(group, *objectives, share.alias("_share")).groupBy(group, "_share").applyInArrow(reduce, schema)
-    return local.groupBy(group).applyInArrow(reduce, schema)
+        return table.take(pa.array(_undominated(values)))
+
+    largest = counted.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    shares = 1
+    while shares * share_rows < largest:
+        shares *= FAN
+    rows = counted.withColumn("_share", F.pmod(F.xxhash64(*objectives), F.lit(shares)))
+    while True:
+        rows = rows.select(*schema.fieldNames()).groupBy(group, "_share").applyInArrow(reduce, schema)
+        if shares == 1:
+            break
+        shares //= FAN
+        rows = rows.withColumn("_share", F.expr(f"_share div {FAN}"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(group, *objectives)
+
+
+def random_control(plans: DataFrame, chosen: DataFrame, group: str, objectives: list[str], seed: int) -> DataFrame:
+    """As many plans of each group as were chosen of it (all, if there are fewer), without replacement, in an order by hash.
+
+    Equal plans are drawn one by one.  Places come from ranges of the order, so a large group is many tasks' work.
+    """
+    size = chosen.groupBy(group).agg(F.count(F.lit(1)).alias("_wanted"))
+    counted = plans.groupBy(group, *objectives).agg(F.count(F.lit(1)).alias("n"))
+    drawn = counted.withColumn("_draw", F.xxhash64(F.lit(seed).cast("long"), *objectives))
+    placed = running_counts(drawn, [group], ["_draw", *objectives], "_upto").join(size, group)
+    taken = F.least(F.col("n"), F.col("_wanted") - (F.col("_upto") - F.col("n")))
+    return placed.withColumn("_taken", taken).where("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_taken"))).select(group, *objectives)
+
+
+def weight_family(count: int, objectives: int, seed: int) -> list[tuple[float, ...]]:
+    """``count`` weightings, evenly spread over all that sum to one: exponential draws by hash, divided by their sum."""
+    out = []
+    for k in range(count):
+        draws = [int.from_bytes(hashlib.blake2b(f"{seed}:{k}:{c}".encode(), digest_size=6).digest()) for c in range(objectives)]
+        parts = [-math.log((d + 0.5) / (1 << 48)) for d in draws]
+        out.append(tuple(p / sum(parts) for p in parts))
+    return out
 
 
 def cover(plans: DataFrame, group: str, objectives: list[str], tolerance: tuple) -> DataFrame:

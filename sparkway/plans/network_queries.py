@@ -182,6 +182,31 @@ def relative_regret(spark, sf_dir):
     return found.select("task", "utility", *[F.round(c, 9).alias(c) for c in ("best", "regret", "relative")])
 
 
+_FAMILY = [(k, *w) for k, w in enumerate(candidates.weight_family(6, 4, 11))]
+_SHARES = " + ".join(f"{c} / {float(s)!r}::DOUBLE * w{c}" for c, s in zip("abcd", _SCALES, strict=True))
+
+
+@query(
+    "SELECT f.task, f.u AS utility, round(f.best, 9) AS best, round(CASE WHEN c.best IS NULL THEN CAST('infinity' AS DOUBLE) ELSE greatest(0, c.best - f.best) END, 9) AS regret FROM f LEFT JOIN c USING (task, u)",
+    V.PLANS_SQL, "us AS (SELECT * FROM (VALUES " + ", ".join(f"({w[0]}, {', '.join(f'{x!r}::DOUBLE' for x in w[1:])})" for w in _FAMILY) + ") t(u, wa, wb, wc, wd))",
+    f"f AS (SELECT task, u, min({_SHARES}) AS best FROM plans_v, us GROUP BY task, u)", f"c AS (SELECT task, u, min({_SHARES}) AS best FROM plans_v, us WHERE a <= 10 GROUP BY task, u)",
+)
+def sampled_regret(spark, sf_dir):
+    """Regret over weights drawn evenly from all that sum to one."""
+    flat = V.plans(spark, sf_dir)
+    found = candidates.relative_regret(flat, flat.where("a <= 10"), [w[1:] for w in _FAMILY], "task", OBJECTIVES, _SCALES, eta=0.001)
+    return found.select("task", "utility", *[F.round(c, 9).alias(c) for c in ("best", "regret")])
+
+
+@query("SELECT task, least(count(*), count(*) FILTER (a <= 10)) AS n, true AS held FROM plans_v GROUP BY task HAVING count(*) FILTER (a <= 10) > 0", V.PLANS_SQL)
+def random_controls(spark, sf_dir):
+    """As many plans of each task as were chosen, drawn at random; their number, and that all are plans of the task."""
+    flat = V.plans(spark, sf_dir)
+    drawn = candidates.random_control(flat, flat.where("a <= 10"), "task", OBJECTIVES, 5)
+    known = flat.select("task", *OBJECTIVES, F.lit(1).alias("known"))
+    return drawn.distinct().join(known, ["task", *OBJECTIVES], "left").groupBy("task").agg(F.count(F.lit(1)).alias("n"), (F.count("known") == F.count(F.lit(1))).alias("held"))
+
+
 NEAR_M = 400_000.0
 SPHERE_SQL = "globe_v AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 300 % 90 AS lat, embedding[2]::DOUBLE * 900 % 180 AS lon FROM embeddings)"
 _HAVERSINE = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"

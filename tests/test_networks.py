@@ -36,6 +36,36 @@ def test_strong_classes_of_cycles_chains_and_lone_nodes(spark):
     assert {r.id: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
 
 
+def test_skyline_with_copies_and_shares(spark):
+    rng = random.Random(9)
+    plans = [(rng.randrange(2), rng.randrange(12), rng.randrange(12), rng.randrange(12) / 2) for _ in range(500)] + [(0, 0, 11, 0.5)] * 30
+    frame = spark.createDataFrame(plans, "g long, x long, y long, z double").repartition(3)
+    beats = lambda q, p: q[0] == p[0] and q != p and all(a <= b for a, b in zip(q, p, strict=True))
+    want = sorted(p for p in plans if not any(beats(q, p) for q in plans))
+    for share_rows in (20_000, 7):
+        assert sorted(map(tuple, candidates.skyline(frame, "g", ["x", "y", "z"], share_rows).collect())) == want
+    assert candidates.skyline(frame.limit(0), "g", ["x", "y", "z"]).count() == 0
+
+
+def test_random_control(spark):
+    plans = [(k % 3, k, k % 2) for k in range(90)] + [(0, 1000, 0)] * 20
+    frame = spark.createDataFrame(plans, "g long, x long, y long")
+    chosen = spark.createDataFrame([(0,)] * 25 + [(1,)] * 400 + [(7,)], "g long")
+    draw = lambda seed, parts: sorted(map(tuple, candidates.random_control(frame.repartition(parts), chosen, "g", ["x", "y"], seed).collect()))
+    one = draw(1, 1)
+    assert one == draw(1, 5) != draw(2, 1)
+    assert [sum(p[0] == g for p in one) for g in range(3)] == [25, 30, 0]
+    assert all(one.count(p) <= plans.count(p) for p in one)
+
+
+def test_weight_family():
+    family = candidates.weight_family(4000, 3, 1)
+    assert family == candidates.weight_family(4000, 3, 1) != candidates.weight_family(4000, 3, 2)
+    assert all(abs(sum(w) - 1) < 1e-12 and min(w) > 0 for w in family)
+    # evenly over the triangle: a third is the mean, and half of a coordinate is exceeded by a quarter
+    assert all(abs(sum(w[c] for w in family) / 4000 - 1 / 3) < 0.02 and abs(sum(w[c] > 0.5 for w in family) / 4000 - 0.25) < 0.03 for c in range(3))
+
+
 PRETTY = '{\n  "rows": [\n    {\n      "id": 1,\n      "at": {\n        "x": 2\n      }\n    },\n    {\n      "id": 3,\n      "at": null\n    }\n  ]\n}\n'
 
 
