@@ -30,7 +30,7 @@ from .skew import with_facts
 
 #: Rows that are compared with a codebook at once.
 ROWS = 2048
-#: Relative slack of the bounds, far above what double arithmetic loses.
+#: Slack of the bounds, as a share of the squared lengths of both vectors: far above what double arithmetic loses.
 SLACK = 1e-9
 
 
@@ -71,6 +71,7 @@ class Codebook:
         width = entries.shape[1]
         self.levels = [1 << k for k in range(max(1, width).bit_length()) if 1 << k < width]
         self.summaries = {b: summary(entries, b) for b in self.levels}
+        self.sizes = (entries.astype(np.float64) ** 2).sum(axis=1)
 
     def exact(self, x: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         d = x[rows] - self.entries[which]
@@ -80,27 +81,19 @@ class Codebook:
         """Nearest entry of every row, of equals the first, and the squared distance."""
         n = len(x)
         every = np.arange(n)
-        rows = which = best = None
+        best = np.full(n, np.inf)
+        open_ = np.ones((n, len(self.entries)), bool)
+        slack = SLACK * ((x.astype(np.float64) ** 2).sum(axis=1)[:, None] + self.sizes[None, :] + 1)
         for blocks in self.levels:
             (means, rest), (entry_means, entry_rest) = summary(x, blocks), self.summaries[blocks]
-            if rows is None:  # all entries are open: one table of bounds
-                bound = (rest[:, None] - entry_rest[None, :]) ** 2
-                for b in range(blocks):
-                    bound += (means[:, b, None] - entry_means[None, :, b]) ** 2
-                best = self.exact(x, every, bound.argmin(axis=1)).astype(np.float64)
-                rows, which = np.nonzero(bound * (1 - SLACK) - SLACK <= best[:, None])
-                continue
-            gap = means[rows] - entry_means[which]
-            bound = np.einsum("ij,ij->i", gap, gap) + (rest[rows] - entry_rest[which]) ** 2
-            # the entry with the smallest bound gives a better known distance
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            least = np.minimum.reduceat(bound, starts)
-            first = np.flatnonzero(bound == np.repeat(least, np.diff(np.r_[starts, len(rows)])))
-            np.minimum.at(best, rows[first], self.exact(x, rows[first], which[first]).astype(np.float64))
-            open_ = bound * (1 - SLACK) - SLACK <= best[rows]
-            rows, which = rows[open_], which[open_]
-        if rows is None:
-            rows, which = np.repeat(every, len(self.entries)), np.tile(np.arange(len(self.entries)), n)
+            bound = (rest[:, None] - entry_rest[None, :]) ** 2 - slack
+            # |M(x) - M(c)|^2, written out; the slack covers what cancels
+            bound += (means**2).sum(axis=1)[:, None] + (entry_means**2).sum(axis=1)[None, :] - 2 * means @ entry_means.T
+            bound[~open_] = np.inf
+            # the open entry with the smallest bound may give a better known distance
+            best = np.minimum(best, self.exact(x, every, bound.argmin(axis=1)))
+            open_ = bound <= best[:, None]
+        rows, which = np.nonzero(open_)
         table = np.full((n, len(self.entries)), np.iinfo(np.int64).max)
         table[rows, which] = self.exact(x, rows, which)
         chosen = table.argmin(axis=1)
