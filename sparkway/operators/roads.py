@@ -21,8 +21,8 @@ from .tables import checkpointed, dense_ids
 MOST_SENT = 200_000
 #: Fronts that are kept apart until labels are merged.
 MOST_FRONTS = 12
-#: Edges of one block, and origins that a task works on at once.
-BLOCK_EDGES, ORIGINS = 100_000, 16
+#: Edges of one block, origins that a task works on at once at least, and labels (origins x nodes) that it holds.
+BLOCK_EDGES, ORIGINS, CELLS = 100_000, 16, 3_200_000
 #: Above every label.
 UNREACHED = 1 << 62
 
@@ -101,7 +101,8 @@ def spread(edges: DataFrame, start: DataFrame, weight: str = "time_s", limit: in
 
     Edges lie in blocks of about BLOCK_EDGES, by ranges of (source, target), so that a node with very many edges has several.  A round hands
     each block the labels that other blocks lowered, and the block spreads them over its edges until nothing changes: rounds
-    follow how often a way changes blocks, not how many edges it has.  A task holds one block and ORIGINS origins.
+    follow how often a way changes blocks, not how many edges it has.  A task holds one block, and ORIGINS origins or
+    as many as CELLS labels allow.
     Ids, labels and weights are longs; weights aren't negative.
     """
     hop = checkpointed(edges.groupBy("source", "target").agg(F.min(weight).cast("long").alias("w")))
@@ -112,7 +113,10 @@ def spread(edges: DataFrame, start: DataFrame, weight: str = "time_s", limit: in
     if start.select("origin").distinct().limit(ORIGINS + 1).count() <= ORIGINS:
         dealt = lambda rows: rows.withColumn("share", F.lit(0).cast("long"))
     else:
-        shares = checkpointed(dense_ids(start.select("origin"), "origin").select("origin", F.expr(f"id div {ORIGINS}").alias("share")))
+        # a small block takes more origins at once, so that its edges are sent less often
+        ends = arcs.select("block", F.explode(F.array("source", "target")).alias("n")).distinct()
+        widest = ends.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        shares = checkpointed(dense_ids(start.select("origin"), "origin").select("origin", F.expr(f"id div {max(ORIGINS, CELLS // widest)}").alias("share")))
         dealt = lambda rows: rows.join(shares, "origin")
     smallest = lambda rows: rows.groupBy("origin", "node").agg(F.min("dist").alias("dist"))
     step = _block_step(UNREACHED - 1 if limit is None else limit)

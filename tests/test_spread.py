@@ -43,6 +43,7 @@ def spread_of(spark, arcs, start, **more):
 def test_spread(spark, monkeypatch, block, origins):
     monkeypatch.setattr(roads, "BLOCK_EDGES", block)
     monkeypatch.setattr(roads, "ORIGINS", origins)
+    monkeypatch.setattr(roads, "CELLS", 150)
     rng = random.Random(block)
     # a hub with a third of all edges, parallel edges, edges of no weight, a part that nothing reaches
     arcs = [(rng.randrange(60), rng.randrange(60), rng.randrange(0, 30)) for _ in range(120)] + [(7, n, rng.randrange(1, 90)) for n in range(60)] + [(90, 91, 1), (91, 5, 2)]
