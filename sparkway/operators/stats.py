@@ -109,7 +109,8 @@ def agreement(labels: DataFrame) -> DataFrame:
     one = cells.agg(pairs("n").alias("both_pairs"), F.sum("n").alias("rows"))
     row = one.crossJoin(side("left")).crossJoin(side("right"))  # three tables of one row
     every = F.expr("rows * (rows - 1) / 2")
-    expected = F.col("left_pairs") * F.col("right_pairs") / every
+    # the product of two counts of pairs exceeds a long from some 100,000 rows on
+    expected = F.col("left_pairs").cast("double") * F.col("right_pairs").cast("double") / every
     index = (F.col("both_pairs") - expected) / ((F.col("left_pairs") + F.col("right_pairs")) / 2 - expected)
     return row.select("rows", "both_pairs", "left_pairs", "right_pairs", F.round(index, 9).alias("adjusted_rand"))
 

@@ -100,3 +100,11 @@ def test_closed_shelters(spark):
     assert found == {(1, 0, "closed_shelter_contour"), (2, 1, None), (2, -1, None), (3, 1, None), (3, -1, None)}
     with pytest.raises(Exception, match="unknown road class"):
         policy.admitted_ways(ways.withColumn("contour", F.lit(False))).collect()
+
+
+def test_agreement_of_classes_whose_pairs_multiply_beyond_a_long(spark):
+    from sparkway.operators import stats
+
+    same = spark.range(200_000).selectExpr("id % 2 AS left", "1 - id % 2 AS right")
+    row = stats.agreement(same).first()
+    assert row["left_pairs"] * row["right_pairs"] > 1 << 63 and row["adjusted_rand"] == 1.0
