@@ -162,3 +162,17 @@ def test_clipping_along_the_boundary(spark):
     got = areas.clipped(spark.createDataFrame(rows, "way long, seq long, x double, y double, node string, full_length double"), square, 4.0).orderBy("way", "piece").collect()
     assert [(r["way"], r["piece"], r["from_m"], r["to_m"], r["length"]) for r in got] == [(1, 0, 5, 15, 4), (2, 0, 0, 2, 8), (5, 0, 5, 17, 8 * 12 / 45), (5, 1, 40, 45, 8 * 5 / 45)]
     assert [(r["source"][:4], r["target"][:4]) for r in got] == [("clip", "clip"), ("n0", "n3"), ("clip", "clip"), ("clip", "n4")]
+
+
+def test_points_on_lines_fall_where_lines_to_their_right_put_them(spark):
+    diamond = [(0, False, 0, 0.0, -6.0), (0, False, 1, 6.0, 0.0), (0, False, 2, 0.0, 6.0), (0, False, 3, -6.0, 0.0)]
+    square = [(1, True, 0, -2.0, -2.0), (1, True, 1, 2.0, -2.0), (1, True, 2, 2.0, 2.0), (1, True, 3, -2.0, 2.0)]
+    rings = spark.createDataFrame(diamond + square, "ring long, hole boolean, seq long, x double, y double")
+    spots = [(k, float(k % 15 - 7), float(k // 15 - 7)) for k in range(225)]
+    found = areas.boundary_risk(spark.createDataFrame(spots, "id long, x double, y double"), rings, 0.5, 2.0).collect()
+
+    def odd(ring, x, y):
+        ends = [(a[3], a[4], b[3], b[4]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+        return sum((y1 <= y) != (y2 <= y) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x for x1, y1, x2, y2 in ends) % 2 == 1
+
+    assert {r["id"]: r["inside"] for r in found} == {k: odd(diamond, x, y) and not odd(square, x, y) for k, x, y in spots}
