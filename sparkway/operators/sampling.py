@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import roads, spatial
-from .tables import checkpointed
+from .tables import checkpointed, stored
+
+#: Trips measured at first, for each that is wanted.
+TRIPS = 20
 
 
 def drawn(key: Column, seed: int, what: str) -> Column:
@@ -51,13 +54,20 @@ def instances(tries: DataFrame, nodes: DataFrame, edges: DataFrame, allowed: Dat
     attempt, side = F.expr("(-a - 1) div 2"), F.expr("(-a - 1) % 2")
     both = snapped.groupBy(attempt.alias("attempt")).agg(F.max(F.when(side == 0, F.col("b"))).alias("origin"), F.max(F.when(side == 1, F.col("b"))).alias("destination"))
     trips = both.where("origin <> destination").groupBy("origin", "destination").agg(F.min("attempt").alias("attempt"))
-    trips = checkpointed(trips)
-    reach = roads.distances(edges, trips.select("origin").distinct(), "length_m", limit=max(b for _, b in bands))
-    lengths = trips.join(reach.select("origin", F.col("node").alias("destination"), F.col("dist").alias("length_m")), ["origin", "destination"])
+    trips = stored(trips)
+    n, taken = trips.count(), TRIPS * per_band * len(bands)
     band = F.coalesce(*[F.when((F.col("length_m") >= a) & (F.col("length_m") < b), F.lit(k)) for k, (a, b) in enumerate(bands)])
     place = F.row_number().over(Window.partitionBy("band").orderBy("attempt"))
-    first = checkpointed(lengths.withColumn("band", band).where("band IS NOT NULL").withColumn("place", place).where(F.col("place") <= per_band))
-    filled = {r["band"]: r["n"] for r in first.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each band
+    while True:
+        # later trips change nothing once the earlier ones fill every band
+        early = trips if taken >= n else stored(trips.orderBy("attempt").limit(taken))
+        reach = roads.distances(edges, early.select("origin").distinct(), "length_m", limit=max(b for _, b in bands))
+        lengths = early.join(reach.select("origin", F.col("node").alias("destination"), F.col("dist").alias("length_m")), ["origin", "destination"])
+        first = stored(lengths.withColumn("band", band).where("band IS NOT NULL").withColumn("place", place).where(F.col("place") <= per_band))
+        filled = {r["band"]: r["n"] for r in first.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each band
+        if taken >= n or all(filled.get(k, 0) == per_band for k in range(len(bands))):
+            break
+        taken *= 8
     short = [b for k, b in enumerate(bands) if filled.get(k, 0) < per_band]
     if short:
         raise ValueError(f"too few trips in bands {short}: {filled}")
@@ -102,9 +112,9 @@ def chains(trees: DataFrame, ends: DataFrame) -> DataFrame:
     while not jump.isEmpty():
         on = jump.select("root", F.col("node").alias("at"), "to")
         further = found.join(on, ["root", "at"]).select("root", "node", (F.col("step") + length).alias("step"), F.col("to").alias("at"))
-        after = checkpointed(found.unionByName(further))
+        after = stored(found.unionByName(further))
         twice = jump.select("root", F.col("node").alias("to"), F.col("to").alias("over"))
-        jump = checkpointed(jump.join(twice, ["root", "to"]).select("root", "node", F.col("over").alias("to")))
+        jump = stored(jump.join(twice, ["root", "to"]).select("root", "node", F.col("over").alias("to")))
         found, length = after, length * 2
     return found
 
@@ -115,6 +125,7 @@ def walks(points: DataFrame, ahead: DataFrame, behind: DataFrame) -> DataFrame:
     ``ahead`` (origin, node, parent) and ``behind`` (destination, node, parent) are trees from the origins and, along reversed edges,
     from the destinations.
     """
+    points = stored(points)
     up = chains(ahead.withColumnRenamed("origin", "root"), points.select(F.col("origin").alias("root"), F.col("waypoint").alias("node")))
     down = chains(behind.withColumnRenamed("destination", "root"), points.select(F.col("destination").alias("root"), F.col("waypoint").alias("node")))
     named = lambda rows, end: rows.select(F.col("root").alias(end), F.col("node").alias("waypoint"), "step", F.col("at").alias("node"))

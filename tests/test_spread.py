@@ -63,3 +63,26 @@ def test_long_chain(spark, monkeypatch):
     arcs = [(k, k + 1, 1) for k in range(2000)]
     assert spread_of(spark, arcs, [(0, 0, 0)]) == {(0, k): k for k in range(2001)}
     assert time.monotonic() - began < 60
+
+
+def test_a_loop_of_joins_keeps_its_true_size_and_sends_little(spark):
+    from sparkway.operators.tables import small_broadcasts, stored
+
+    rows = spark.range(50).withColumnRenamed("id", "a")
+    for _ in range(5):
+        rows = stored(rows.join(rows, "a"))
+    assert rows.count() == 50 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString().__len__() < 7
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    for given, kept in (("10485760b", str(1 << 20)), ("256k", "256k"), ("-1", "-1")):
+        spark.conf.set(name, given)
+        small_broadcasts(spark)
+        assert spark.conf.get(name) == kept
+    spark.conf.unset(name)
+
+
+def test_a_way_through_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(roads, "BLOCK_EDGES", 100)
+    began = time.monotonic()
+    arcs = [(k, k + 1, 1) for k in range(2400)]
+    assert spread_of(spark, arcs, [(0, 0, 0)]) == {(0, k): k for k in range(2401)}
+    assert time.monotonic() - began < 90
