@@ -125,7 +125,6 @@ def walks(points: DataFrame, ahead: DataFrame, behind: DataFrame) -> DataFrame:
     ``ahead`` (origin, node, parent) and ``behind`` (destination, node, parent) are trees from the origins and, along reversed edges,
     from the destinations.
     """
-    points = stored(points)
     up = chains(ahead.withColumnRenamed("origin", "root"), points.select(F.col("origin").alias("root"), F.col("waypoint").alias("node")))
     down = chains(behind.withColumnRenamed("destination", "root"), points.select(F.col("destination").alias("root"), F.col("waypoint").alias("node")))
     named = lambda rows, end: rows.select(F.col("root").alias(end), F.col("node").alias("waypoint"), "step", F.col("at").alias("node"))

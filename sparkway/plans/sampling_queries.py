@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import roads, sampling
+from ..operators import roads, sampling, tables
 from ..sources import views as V
 from .region_queries import STREET_BACK, STREET_TIMES, _side, keyed
 from .route_queries import query
@@ -69,10 +69,10 @@ def _walked(spark, sf_dir):
     side = _side(spark, sf_dir)
     edges = V.streets(spark, sf_dir)
     trips = spark.createDataFrame([(o, side * side - 1 - o) for o in (0, side - 1)], "origin long, destination long")
-    costs = roads.through_costs(edges, trips)
-    points = sampling.waypoints(costs, RATIOS, WAYPOINTS, F.expr(_ORDER))
     forward = roads.distances(edges, trips.select("origin"))
     backward = roads.distances(roads.reverse(edges), trips.select(F.col("destination").alias("origin")))
+    costs = roads.through_of(trips, forward.withColumnRenamed("dist", "forward"), backward.select(F.col("origin").alias("destination"), "node", F.col("dist").alias("backward")))
+    points = tables.stored(sampling.waypoints(costs, RATIOS, WAYPOINTS, F.expr(_ORDER)))
     ahead = roads.predecessors(edges, forward)
     behind = roads.predecessors(roads.reverse(edges), backward).withColumnRenamed("origin", "destination")
     return edges, costs, points, sampling.walks(points, ahead, behind)

@@ -71,7 +71,7 @@ def test_a_loop_of_joins_keeps_its_true_size_and_sends_little(spark):
     rows = spark.range(50).withColumnRenamed("id", "a")
     for _ in range(5):
         rows = stored(rows.join(rows, "a"))
-    assert rows.count() == 50 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString().__len__() < 7
+    assert rows.count() == 50 and len(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 7
     name = "spark.sql.autoBroadcastJoinThreshold"
     for given, kept in (("10485760b", str(1 << 20)), ("256k", "256k"), ("-1", "-1")):
         spark.conf.set(name, given)
