@@ -48,7 +48,7 @@ def small_broadcasts(spark: SparkSession) -> None:
         held = spark.conf.get(name, None)
         if held is None:
             continue
-        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", str(held).strip().lower()).groups()
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", str(held).strip().lower()).groups()
         if int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit] > SENT_BYTES:
             spark.conf.set(name, str(SENT_BYTES))
 

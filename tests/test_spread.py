@@ -86,3 +86,15 @@ def test_a_way_through_many_blocks(spark, monkeypatch):
     arcs = [(k, k + 1, 1) for k in range(2400)]
     assert spread_of(spark, arcs, [(0, 0, 0)]) == {(0, k): k for k in range(2401)}
     assert time.monotonic() - began < 90
+
+
+@pytest.mark.parametrize("block", [40, 1_000_000])
+def test_strong_classes_by_rounds_and_by_one_block(spark, monkeypatch, block):
+    monkeypatch.setattr(roads, "BLOCK_EDGES", block)
+    rng = random.Random(3)
+    arcs = [(rng.randrange(30), rng.randrange(30), 1) for _ in range(45)] + [(k, k + 1, 1) for k in range(100, 106)] + [(106, 103, 1)]
+    nodes = sorted({n for a, b, _ in arcs for n in (a, b)} | {500})
+    reach = {n: {m for _, m in plain(arcs, [(0, n, 0)])} for n in nodes}
+    right = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    found = roads.strong_classes(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(arcs, "source long, target long, time_s long")).collect()
+    assert {r["id"]: r["component"] for r in found} == right and len(found) == len(right)
