@@ -176,3 +176,25 @@ def test_points_on_lines_fall_where_lines_to_their_right_put_them(spark):
         return sum((y1 <= y) != (y2 <= y) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x for x1, y1, x2, y2 in ends) % 2 == 1
 
     assert {r["id"]: r["inside"] for r in found} == {k: odd(diamond, x, y) and not odd(square, x, y) for k, x, y in spots}
+
+
+@pytest.mark.parametrize("sent", [400_000, 5])
+def test_clipping_sends_no_cuts(spark, monkeypatch, sent):
+    """A comb of many teeth: pieces in order with few of them at once, by lines that are sent and by cells; corners and ends that are met exactly."""
+    monkeypatch.setattr(areas, "LINES_SENT", sent)
+    monkeypatch.setattr(areas, "PIECES", 7)
+    teeth = [p for k in range(30) for p in ((2 * k, 0), (2 * k + 1, 10))] + [(60, 0), (60, -5), (0, -5)]
+    rings = [(0, False, k, float(x), float(y)) for k, (x, y) in enumerate(teeth)] + [(1, True, k, x, y) for k, (x, y) in enumerate([(3.0, -4.0), (9.0, -4.0), (9.0, -1.0), (3.0, -1.0)])]
+    area = spark.createDataFrame(rings, "ring long, hole boolean, seq long, x double, y double")
+    ways = {1: [(-5, 5), (70, 5), (70, -2), (-5, -2)], 2: [(0, 0), (60, 0)], 3: [(1, 10), (1, -3), (6, -3), (6, -4.5), (30, -4.5)], 4: [(5, 5), (5, 5)], 5: [(-9, 9), (-9, 8)]}
+    rows = [(w, k, float(x), float(y), f"n{w}-{k}", 10.0) for w, spots in ways.items() for k, (x, y) in enumerate(spots)]
+    found = {w: [] for w in ways}
+    for r in areas.clipped(spark.createDataFrame(rows, "way long, seq long, x double, y double, node string, full_length double"), area, 4.0).orderBy("way", "piece").collect():
+        assert r["piece"] == len(found[r["way"]]) and r["cut_source"] == r["source"].startswith("clip:") and r["cut_target"] == r["target"].startswith("clip:")
+        found[r["way"]].append((round(r["from_m"], 6), round(r["to_m"], 6), r["source"] if not r["cut_source"] else "", r["target"] if not r["cut_target"] else ""))
+    assert found[1] == [(round(5.5 + 2 * k, 6), round(6.5 + 2 * k, 6), "", "") for k in range(30)] + [(92.0, 143.0, "", ""), (149.0, 152.0, "", "")]
+    assert [f[:2] for f in found[3]] == [(0.0, 15.0), (19.0, 43.5)] and found[3][0][2] == "n3-0" and found[3][-1][3] == "n3-4"
+    assert not found[4] and not found[5]
+    if sent > 5:
+        plan = areas.clipped(spark.createDataFrame(rows, "way long, seq long, x double, y double, node string, full_length double"), area, 4.0)._jdf.queryExecution().toString()
+        assert "cx" not in plan
