@@ -68,13 +68,16 @@ def skyline(plans: DataFrame, group: str, objectives: list[str], share_rows: int
         values = np.stack([table.column(c).to_numpy() for c in objectives], axis=1)
         return table.take(pa.array(_undominated(values)))
 
-    largest = counted.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest, total = counted.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    largest, total = largest or 0, total or 0
     shares = 1
     while shares * share_rows < largest:
         shares *= FAN
     rows = counted.withColumn("_share", F.pmod(F.xxhash64(*objectives), F.lit(shares)))
     while True:
-        rows = rows.select(*schema.fieldNames()).groupBy(group, "_share").applyInArrow(reduce, schema)
+        # what a task holds at once doesn't grow with the plans
+        dealt = rows.select(*schema.fieldNames()).repartition(max(total // (10 * share_rows), 1 if total < share_rows else 8), group, "_share")
+        rows = dealt.groupBy(group, "_share").applyInArrow(reduce, schema)
         if shares == 1:
             break
         shares //= FAN
