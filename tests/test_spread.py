@@ -105,7 +105,7 @@ def test_many_edges_a_node_take_the_useful_ones(spark, monkeypatch, limit):
     monkeypatch.setattr(roads, "BLOCK_EDGES", 300)
     rng = random.Random(8)
     # dense in the middle; nodes that only heavy edges reach, and one beyond them
-    arcs = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 50)) for _ in range(3000)] + [(n, 50, 70 + n) for n in range(40)] + [(50, 51, 1), (52, 3, 1)]
+    arcs = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 50)) for _ in range(3000)] + [(n, 50, 70 + n) for n in range(40) if n not in (3, 7, 9)] + [(50, 51, 1), (52, 3, 1)]
     # one origin has no light edge
     arcs = [(a, b, w + 8 if a == 3 else w) for a, b, w in arcs]
     start = [(1, 3, 0), (2, 7, 4), (2, 9, -2)]
