@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tables of more bytes, as shuffled, aren't sent to all tasks unasked.
 SENT_BYTES = 1 << 20
+#: Bytes in memory that a byte of a file counts as, when Spark guesses what a table takes: sorted numbers pack tightly.
+UNPACKED = 8
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -40,17 +42,21 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def small_broadcasts(spark: SparkSession) -> None:
-    """Lowers the session's threshold for broadcasts to SENT_BYTES.
+    """Lowers the session's threshold for broadcasts to SENT_BYTES, also where none is set, and counts bytes of files as UNPACKED times as many.
 
     Spark compares compressed bytes with it; ten megabytes of sorted numbers are over a million rows, whose hash table takes the driver hundreds of megabytes.
     """
     for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
-        held = spark.conf.get(name, None)
+        # get() with a default of None gives None for a setting that only has Spark's own default
+        held = spark.conf.get(name) if name == "spark.sql.autoBroadcastJoinThreshold" else spark.conf.get(name, None)
         if held is None:
             continue
         number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", str(held).strip().lower()).groups()
         if int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit] > SENT_BYTES:
             spark.conf.set(name, str(SENT_BYTES))
+    factor = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(factor)) < UNPACKED:
+        spark.conf.set(factor, str(float(UNPACKED)))
 
 
 def must_be_empty(violations: DataFrame, what: str) -> None:

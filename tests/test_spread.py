@@ -7,6 +7,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkway.operators import roads
 
@@ -123,3 +124,19 @@ def test_twenty_origins_with_a_limit_spread_by_blocks(spark, monkeypatch):
     arcs = [(rng.randrange(50), rng.randrange(50), rng.randrange(1, 20)) for _ in range(900)]
     start = [(o, o, 0) for o in range(20)]
     assert spread_of(spark, arcs, start, limit=8) == plain(arcs, start, 8)
+
+
+def test_a_session_without_a_threshold_of_its_own_sends_little(spark):
+    from sparkway.operators.tables import SENT_BYTES, small_broadcasts, stored
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.unset(name)
+    try:
+        small_broadcasts(spark)
+        assert spark.conf.get(name) == str(SENT_BYTES)
+        # labels as a round leaves them: 400,000 rows are less than a megabyte of file
+        labels = stored(spark.range(0, 400_000, numPartitions=2).selectExpr("id div 100000 AS origin", "id % 100000 AS node", "id % 7 AS dist"))
+        plan = labels.join(labels.select("node", F.col("dist").alias("other")), "node")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset(name)
